@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import nearest, radix
+from tidegrid.llm import leakage, nearest, radix
 from tidegrid.sources.tables import table
 
 PERCENTILES = [1.0, 5.0, 25.0, 50.0, 75.0, 95.0, 99.0]
@@ -50,8 +50,17 @@ def p6_combined_days(spark: SparkSession, folder: str) -> DataFrame:
     return radix.combine(_day_histograms(spark, folder), ["group", "instrument"], PERCENTILES)
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), "doc_id", "text", "item_id", "text")
+
+
+def p8_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Each affected document with the items it reveals."""
+    return p8_found(spark, folder).groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p6_percentiles, p6_day_results, p6_combined_days)}
+    return {f.__name__: f for f in (p4_found, p6_percentiles, p6_day_results, p6_combined_days, p8_found, p8_documents)}
 
 
 def _percentile_sql(name: str, key: str, group: str, fields: list[str]) -> str:
