@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import leakage, nearest, radix
+from tidegrid.llm import leakage, nearest, radix, sanitise
 from tidegrid.sources.tables import table
 
 PERCENTILES = [1.0, 5.0, 25.0, 50.0, 75.0, 95.0, 99.0]
@@ -59,8 +59,19 @@ def p8_documents(spark: SparkSession, folder: str) -> DataFrame:
     return p8_found(spark, folder).groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sanitise.personal_details(table(spark, folder, "documents"), "doc_id", "text").select("doc_id", "line_no", "kind").distinct()
+
+
+def p9_sanitised(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts with typed placeholders in the place of personal details."""
+    documents = table(spark, folder, "documents")
+    found = sanitise.personal_details(documents, "doc_id", "text")
+    return sanitise.replace_details(documents.select("doc_id", "text"), found, "doc_id", "text")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p6_percentiles, p6_day_results, p6_combined_days, p8_found, p8_documents)}
+    return {f.__name__: f for f in (p4_found, p6_percentiles, p6_day_results, p6_combined_days, p8_found, p8_documents, p9_found, p9_sanitised)}
 
 
 def _percentile_sql(name: str, key: str, group: str, fields: list[str]) -> str:
