@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import leakage, nearest, radix, sanitise
+from tidegrid.functions.shared import cut
+from tidegrid.llm import leakage, nearest, packing, radix, sanitise
 from tidegrid.sources.tables import table
 
 PERCENTILES = [1.0, 5.0, 25.0, 50.0, 75.0, 95.0, 99.0]
@@ -50,6 +51,23 @@ def p6_combined_days(spark: SparkSession, folder: str) -> DataFrame:
     return radix.combine(_day_histograms(spark, folder), ["group", "instrument"], PERCENTILES)
 
 
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of every text or piece for each plan; start and size are in tokens."""
+    plans = table(spark, folder, "pack_plans").select("plan_id", "capacity_tokens", "across_repos").distinct().limit(101).collect()
+    if len(plans) > 100:
+        raise ValueError("more than 100 plans")
+    tokens = cut(packing.count_tokens(table(spark, folder, "documents"), "doc_id", "text", ["repo"]))
+    chosen = [(p["plan_id"], p["capacity_tokens"], None if p["across_repos"] else "repo") for p in sorted(plans)]
+    return packing.fill_containers(tokens, "doc_id", "tokens", chosen)
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Per plan the number of containers, the tokens in them and the share of their capacity that is used."""
+    plans = table(spark, folder, "pack_plans").select("plan_id", "capacity_tokens").distinct()
+    loads = p7_containers(spark, folder).groupBy("plan_id").agg(F.count_distinct("container_id").alias("containers"), F.sum("size").alias("tokens"), F.max("size").alias("largest_piece"))
+    return loads.join(plans, "plan_id").select("plan_id", "containers", "tokens", "largest_piece", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 4).alias("used"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), "doc_id", "text", "item_id", "text")
 
@@ -71,7 +89,7 @@ def p9_sanitised(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p6_percentiles, p6_day_results, p6_combined_days, p8_found, p8_documents, p9_found, p9_sanitised)}
+    return {f.__name__: f for f in (p4_found, p6_percentiles, p6_day_results, p6_combined_days, p7_containers, p7_fill, p8_found, p8_documents, p9_found, p9_sanitised)}
 
 
 def _percentile_sql(name: str, key: str, group: str, fields: list[str]) -> str:

@@ -74,7 +74,7 @@ _DIGIT_GAP = re.compile(r"\+\d{10}|\d[ ./()-]{1,2}\d")
 _TWO_WORDS = re.compile(rf"(?:{_UP}[\w.'’-]*,? {_UP})")
 #: The rest of an address behind the street: flat, postcode, town.
 ADDRESS_REST = re.compile(
-    rf"(?:,? (?:Flat|Apt|Apartment|Unit|Suite|FLAT|APT|UNIT)\.? \d+[A-Za-z]?)?(?:,? (?:[A-Z]{{2}} ?)?\d{{4,5}}(?: [A-Z]{{2}})?)?(?:,? {_UP}[\w'’-]+(?: {_UP}[\w'’-]+)?)?(?:,? (?:[A-Z]{{2}} )?\d{{4,5}}(?: [A-Z]{{2}})?(?![\w-]))?"
+    rf"(?:,? (?:Flat|Apt|Apartment|Unit|Suite|FLAT|APT|UNIT)\.? \d+[A-Za-z]?)?(?:,? (?:[A-Z]{{2}} ?)?\d{{4,5}}(?: [A-Z]{{2}})?)?(?:,? {_UP}[\w-]+(?: {_UP}[\w-]+)?)?(?:,? (?:[A-Z]{{2}} )?\d{{4,5}}(?: [A-Z]{{2}})?(?![\w-]))?"
 )
 
 _WORD = r"[A-ZÀ-ÖØ-Þ](?:[a-zß-öø-ÿ]+(?:['’][a-zß-öø-ÿ]+)*(?:-[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)*|[A-ZÀ-ÖØ-Þ]+(?:-[A-ZÀ-ÖØ-Þ]{2,})*)"
