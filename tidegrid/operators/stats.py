@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 REP_STEP, SLOT_STEP, MULTIPLIER, MODULUS = 7919, 104729, 48271, 2147483647
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_p(t: pd.Series) -> pd.Series:
     """Two-sided p-value of a standard normal statistic."""
     return t.map(lambda v: math.erfc(abs(v) / math.sqrt(2.0)), na_action="ignore")
