@@ -20,14 +20,16 @@ def walk(prices: list[Column], sizes: list[Column], qty: Column) -> tuple[Column
 
     Levels without a price or size, or of negative size, hold nothing.
     """
-    before, paid = F.lit(0).cast("long"), F.lit(0).cast("double")
-    for p, s in zip(prices, sizes):
-        held = F.when(p.isNotNull(), F.greatest(F.coalesce(s, F.lit(0)), F.lit(0))).otherwise(0)
-        take = F.least(F.greatest(qty - before, F.lit(0)), held)
-        paid = paid + F.when(take > 0, take * p).otherwise(0)
-        before = before + held
-    short = before < qty
-    return F.when(~short, F.try_divide(paid, qty)), short
+    levels = F.array(*[F.struct(p.cast("double").alias("p"), F.when(p.isNotNull(), F.greatest(F.coalesce(s, F.lit(0)), F.lit(0))).otherwise(0).cast("long").alias("s")) for p, s in zip(prices, sizes)])
+
+    def step(state: Column, level: Column) -> Column:
+        take = F.least(F.greatest(qty - state["filled"], F.lit(0)), level["s"])
+        return F.struct((state["filled"] + take).alias("filled"), (state["paid"] + F.when(take > 0, take * level["p"]).otherwise(0.0)).alias("paid"))
+
+    # One pass over the levels; written out level by level the expression would double at each.
+    done = F.aggregate(levels, F.struct(F.lit(0).cast("long").alias("filled"), F.lit(0.0).alias("paid")), step)
+    short = done["filled"] < qty
+    return F.when(~short, F.try_divide(done["paid"], qty)), short
 
 
 def costs(ticks: DataFrame, stages: DataFrame, grid: Grid, sizes: tuple[int, ...], on: tuple[str, ...] = ("window_id",)) -> DataFrame:

@@ -80,7 +80,7 @@ def lagged_correlations(fine: DataFrame, study: Study) -> DataFrame:
     lags = F.explode(F.sequence(F.lit(-study.lag_steps), F.lit(study.lag_steps))).alias("lag")
     ref = ref.select("window_id", "stage", "x", "offset_ms", lags).select("window_id", "stage", "x", "lag", (F.col("offset_ms") + F.col("lag") * step).alias("offset_ms"))
     pairs = rets.filter(F.col("instrument") != study.reference).join(ref, ["window_id", "stage", "offset_ms"])
-    stat = pairs.groupBy(*EVENT, "lag").agg(F.count("*").alias("n"), F.corr("x", "ret").alias("c"), (F.max("x") > F.min("x")).alias("vx"), (F.max("ret") > F.min("ret")).alias("vy"))
+    stat = pairs.groupBy(*EVENT, "lag").agg(F.count("*").alias("n"), F.try_divide(F.covar_samp("x", "ret"), F.stddev_samp("x") * F.stddev_samp("ret")).alias("c"), (F.max("x") > F.min("x")).alias("vx"), (F.max("ret") > F.min("ret")).alias("vy"))
     return stat.select(*EVENT, (F.col("lag") * step).cast("int").alias("lag_ms"), F.when((F.col("n") >= 5) & F.col("vx") & F.col("vy"), F.col("c")).alias("corr"))
 
 

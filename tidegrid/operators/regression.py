@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.config import Study
+from tidegrid.functions.shared import cut
 from tidegrid.operators.stats import benjamini_hochberg, normal_p, ols_hc3, slope_intervals
 
 TESTS = ["event_type", "stage", "instrument", "horizon_s", "unit"]
@@ -58,13 +59,18 @@ def tests(returns: DataFrame, surprises: DataFrame) -> DataFrame:
 
 
 def fits(t: DataFrame) -> DataFrame:
-    """One regression per test, and the two one-sided ones, each over all events, where at least three lie on that side."""
-    sides = t.groupBy(*TESTS).agg(F.count_if("z > 0").alias("n_pos"), F.count_if("z < 0").alias("n_neg"))
-    out = ols_hc3(t, TESTS, "z", "ret").drop("alpha").join(sides, TESTS)
-    for side in ("pos", "neg"):
-        one = ols_hc3(t, TESTS, f"z_{side}", "ret").select(*TESTS, F.col("beta").alias(f"beta_{side}"))
-        out = out.join(one, TESTS).withColumn(f"beta_{side}", F.when(F.col(f"n_{side}") >= 3, F.col(f"beta_{side}")))
-    return out
+    """One regression per test, and the two one-sided ones, each over all events, where at least three lie on that side.
+
+    All three run as one, the side being part of the key.
+    """
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(c).alias("x")) for s, c in (("all", "z"), ("pos", "z_pos"), ("neg", "z_neg"))])
+    long = t.select(*TESTS, "ret", "z", F.explode(sides).alias("s")).select(*TESTS, "ret", "z", "s.*")
+    fit = ols_hc3(long, [*TESTS, "side"], "x", "ret")
+    counts = t.groupBy(*TESTS).agg(F.count_if(F.col("z") > 0).alias("n_pos"), F.count_if(F.col("z") < 0).alias("n_neg"))
+    own = {c: F.max(F.when(F.col("side") == "all", F.col(c))) for c in ("n_events", "beta", "se_hc3", "t", "r2")}
+    one_sided = {f"beta_{s}": F.max(F.when(F.col("side") == s, F.col("beta"))) for s in ("pos", "neg")}
+    out = fit.groupBy(*TESTS).agg(*[e.alias(c) for c, e in {**own, **one_sided}.items()]).join(counts, TESTS)
+    return out.withColumns({f"beta_{s}": F.when(F.col(f"n_{s}") >= 3, F.col(f"beta_{s}")) for s in ("pos", "neg")})
 
 
 def sign_check(expected: Column, beta: Column, survives: Column) -> Column:
@@ -87,7 +93,7 @@ def judged(fitted: DataFrame, study: Study, expected: dict = EXPECTED) -> DataFr
 
 def regressions(returns: DataFrame, surprises: DataFrame, study: Study, expected: dict = EXPECTED) -> DataFrame:
     """The whole table: fits, bootstrap intervals of the slope, p, q and sign check."""
-    t = tests(returns, surprises)
+    t = cut(tests(returns, surprises))  # a few rows per event, used three times
     boot = slope_intervals(t, TESTS, "window_id", "z", "ret", study.reps, study.seed + 2)
     return judged(fits(t).join(boot, TESTS), study, expected)
 

@@ -23,26 +23,29 @@ def normal_p(t: pd.Series) -> pd.Series:
 def ols_hc3(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Per group the line y = alpha + beta x with HC3 standard errors: keys, n_events, alpha, beta, se_hc3, t, r2.
 
-    Moments are aggregated, joined back, and the leverage-weighted squares aggregated again; no group is gathered. Rows with a
-    NULL x or y are left out; fewer than 3 rows, or a constant x, give NULL; a point of leverage 1 gives NULL errors.
+    One aggregation gives the moments; they are joined back and the leverage-weighted squares aggregated again; no group is
+    gathered. Rows with a NULL x or y are left out; fewer than 3 rows, or a constant x, give NULL; a point of leverage 1 gives
+    NULL errors.
     """
     d = df.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    ok = d.dropna(subset=["x", "y"])
-    m = ok.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), (F.max("x") == F.min("x")).alias("flat"))
-    c = _back(ok, m, keys).withColumns({"dx": F.col("x") - F.col("mx"), "dy": F.col("y") - F.col("my")})
-    s = c.groupBy(*keys).agg(F.sum(F.col("dx") * F.col("dx")).alias("sxx"), F.sum(F.col("dx") * F.col("dy")).alias("sxy"), F.sum(F.col("dy") * F.col("dy")).alias("syy"))
-    s = _back(s, m, keys).withColumn("beta", F.when((F.col("n") >= 3) & ~F.col("flat"), F.try_divide("sxy", "sxx")))
-    r = _back(ok, s, keys).withColumns({"dx": F.col("x") - F.col("mx"), "dy": F.col("y") - F.col("my")})
-    left = 1 - 1 / F.col("n") - F.try_divide(F.col("dx") * F.col("dx"), F.col("sxx"))
+    both = F.col("x").isNotNull() & F.col("y").isNotNull()
+    m = d.groupBy(*keys).agg(
+        F.count_if(both).alias("n"), F.regr_avgx("y", "x").alias("mx"), F.regr_avgy("y", "x").alias("my"), F.regr_sxx("y", "x").alias("sxx"), F.regr_sxy("y", "x").alias("sxy"), F.regr_syy("y", "x").alias("syy"),
+        F.coalesce(F.max(F.when(both, F.col("x"))) > F.min(F.when(both, F.col("x"))), F.lit(False)).alias("varied"),
+    )
+    m = m.withColumn("beta", F.when((F.col("n") >= 3) & F.col("varied"), F.try_divide("sxy", "sxx")))
+    r = _back(d, m, keys).withColumns({"dx": F.col("x") - F.col("mx"), "e": (F.col("y") - F.col("my")) - F.col("beta") * (F.col("x") - F.col("mx"))})
+    left = 1 - F.try_divide(F.lit(1.0), F.col("n")) - F.try_divide(F.col("dx") * F.col("dx"), F.col("sxx"))
     left = F.when(F.abs(left) > 1e-12, left)
-    e = F.col("dy") - F.col("beta") * F.col("dx")
-    part = F.pow(F.try_divide(F.col("dx") * e, left), 2)
-    v = r.groupBy(*keys).agg(F.sum(part).alias("v"), F.count_if(left.isNull() & (F.col("dx") != 0)).alias("full"), F.sum(e * e).alias("sse"))
-    out = _back(s, v, keys).withColumn("se_hc3", F.when(F.col("beta").isNotNull() & (F.col("full") == 0), F.sqrt("v") / F.col("sxx")))
-    groups = d.select(*keys).distinct()
-    return _back(groups, out, keys, "left").select(
-        *keys, F.coalesce("n", F.lit(0)).alias("n_events"), (F.col("my") - F.col("beta") * F.col("mx")).alias("alpha"), "beta", "se_hc3",
-        F.try_divide("beta", "se_hc3").alias("t"), F.when(F.col("beta").isNotNull(), 1 - F.try_divide("sse", "syy")).alias("r2"),
+    moments = [c for c in m.columns if c not in keys]
+    s = r.groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in moments], F.sum(F.when(both, F.pow(F.try_divide(F.col("dx") * F.col("e"), left), 2))).alias("v"),
+        F.count_if(both & left.isNull() & (F.col("dx") != 0)).alias("full"), F.sum(F.when(both, F.col("e") * F.col("e"))).alias("sse"),
+    )
+    s = s.withColumn("se_hc3", F.when(F.col("beta").isNotNull() & (F.col("full") == 0), F.sqrt("v") / F.col("sxx")))
+    return s.select(
+        *keys, F.col("n").alias("n_events"), (F.col("my") - F.col("beta") * F.col("mx")).alias("alpha"), "beta", "se_hc3", F.try_divide("beta", "se_hc3").alias("t"),
+        F.when(F.col("beta").isNotNull(), 1 - F.try_divide("sse", "syy")).alias("r2"),
     )
 
 

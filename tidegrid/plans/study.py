@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.config import TAPE
+from tidegrid.functions.shared import cut
 from tidegrid.operators import execution, liquidity, panel, reaction, regression, stats, strategy
 from tidegrid.sources import tape
 
@@ -455,7 +456,7 @@ def _z(spark, folder):
 
 
 def _tests(spark, folder):
-    return regression.tests(regression.returns_at_horizons(_coarse(spark, folder), TAPE), _z(spark, folder))
+    return cut(regression.tests(regression.returns_at_horizons(_coarse(spark, folder), TAPE), _z(spark, folder)))
 
 
 @query("SELECT event_id, event_type, round(z, 6) AS z, round(move_ticks, 6) AS move_ticks FROM implied", ("implied",))
