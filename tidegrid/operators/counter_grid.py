@@ -78,7 +78,7 @@ def missing_points(df: DataFrame, keys: list[str], offset: str, grids: list[Grid
     def words(i: int, g: Grid) -> Column:
         low = F.greatest(ceil_div(o - g.start, g.step), F.lit(0))
         high = F.least(ceil_div(o + g.reach - g.start, g.step) - 1, F.lit(g.points - 1))
-        some = F.coalesce(low <= high, F.lit(False))
+        some = o.isNotNull() & F.coalesce(low <= high, F.lit(False))
         low, high = [F.when(some, x).otherwise(-1).cast("int") for x in (low, high)]
         return F.struct(F.lit(i).alias("grid"), low.alias("low"), high.alias("high"))
 
@@ -117,7 +117,7 @@ def last_readings(
     o = F.col("__o")
 
     def cell(i: int, g: Grid) -> Column:
-        at = F.coalesce(F.least(F.greatest(ceil_div(o - g.start, g.step), F.lit(0)), F.lit(g.points)), F.lit(g.points))
+        at = F.when(o.isNull(), F.lit(g.points)).otherwise(F.least(F.greatest(ceil_div(o - g.start, g.step), F.lit(0)), F.lit(g.points)))
         return F.struct(F.lit(i).alias("grid"), at.cast("int").alias("cell"))
 
     names = [f"__k{i}" for i in range(len(keys))]

@@ -40,9 +40,9 @@ def signed() -> Column:
 
 
 def staged(ticks: DataFrame, stages: DataFrame, on: list[str]) -> DataFrame:
-    """Ticks with the stages of their window and the offset from each t0."""
+    """Ticks with the stages of their window and the offset from each t0; a tick or stage without a time has none."""
     s = stages.select("window_id", "event_type", "stage", "time_et", "t0_ns")
-    return ticks.join(s, on).withColumn("off", F.col("ts_event") - F.col("t0_ns"))
+    return ticks.join(s, on).withColumn("off", F.col("ts_event") - F.col("t0_ns")).filter("off is not null")
 
 
 def _points(cells: DataFrame, keys: list[str], grid: Grid) -> DataFrame:
@@ -70,7 +70,7 @@ def panel(ticks: DataFrame, stages: DataFrame, grid: Grid, depth_levels: tuple[i
     key, and windows without a stage, have no rows.
     """
     levels = levels_of(ticks.columns)
-    t = staged(ticks, stages, list(on)).filter(F.col("off").isNotNull() & F.col("instrument").isNotNull())
+    t = staged(ticks, stages, list(on)).filter("instrument is not null")
     valid = F.col("bid_px_0").isNotNull() & F.col("ask_px_0").isNotNull()
     state = F.struct(
         F.when(valid, F.col("bid_px_0")).alias("bid_px"), F.when(valid, F.col("ask_px_0")).alias("ask_px"), F.col("bid_sz_0").alias("bid_sz"), F.col("ask_sz_0").alias("ask_sz"),

@@ -140,11 +140,12 @@ def _join_runs(df: DataFrame, keys: list[str]) -> DataFrame:
     edge = edge.withColumn("linked", F.coalesce(linked, F.lit(False)))
     edge = edge.withColumn("breaks", (~F.col("linked") | (F.lag("runs").over(w) > 1)).cast("int"))
     edge = edge.withColumn("chain", F.sum("breaks").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    edge = edge.withColumns({"next_chain": F.lead("chain").over(w), "goes_on": F.coalesce(F.lead("linked").over(w), F.lit(False))})
     # Each chunk gives its head to its chain, and its tail, if another run, to the chain that the next chunk's head may continue.
     parts = edge.select(*keys, CHUNK, F.explode(F.array(
         F.struct(F.col("chain").alias("c"), F.lit(1).alias("run"), F.col("head.length").alias("n")),
-        F.struct(F.when(F.col("runs") > 1, F.coalesce(F.lead("chain").over(w), F.col("chain") + 1)).alias("c"), F.col("runs").alias("run"), F.col("tail.length").alias("n")),
-    )).alias("p"), F.coalesce(F.lead("linked").over(w), F.lit(False)).alias("goes_on")).select(*keys, CHUNK, "p.*", "goes_on").filter("c is not null")
+        F.struct(F.when(F.col("runs") > 1, F.coalesce(F.col("next_chain"), F.col("chain") + 1)).alias("c"), F.col("runs").alias("run"), F.col("tail.length").alias("n")),
+    )).alias("p"), "goes_on").select(*keys, CHUNK, "p.*", "goes_on").filter("c is not null")
     # A tail that isn't continued stands alone.
     parts = parts.withColumn("c", F.when((F.col("run") > 1) & ~F.col("goes_on"), F.concat(F.lit("own "), F.col(CHUNK).cast("string"))).otherwise(F.col("c").cast("string")))
     parts = parts.withColumn("whole", F.sum("n").over(Window.partitionBy(*keys, "c")))

@@ -279,7 +279,7 @@ def spike_ratio(spark, folder):
     return panel.spike_ratios(_coarse(spark, folder), TAPE.quiet_s, TAPE.spike_s)
 
 
-@query(f"SELECT window_id AS event_id, round(max(ratio), 6) AS best_ratio, arg_max(instrument, ratio) AS best_instrument, coalesce(max(ratio) >= {TAPE.least_spike_ratio}, false) AS confirmed FROM ({_RATIO}) WHERE instrument IN ('click', 'view') AND ratio IS NOT NULL GROUP BY ALL", ("coarse",))
+@query(f"SELECT window_id AS event_id, round(max(ratio), 6) AS best_ratio, arg_max(instrument, struct_pack(r := ratio, i := instrument)) AS best_instrument, coalesce(max(ratio) >= {TAPE.least_spike_ratio}, false) AS confirmed FROM ({_RATIO}) WHERE instrument IN ('click', 'view') AND ratio IS NOT NULL GROUP BY ALL", ("coarse",))
 def validate_events(spark, folder):
     ratios = panel.spike_ratios(_coarse(spark, folder), TAPE.quiet_s, TAPE.spike_s)
     return panel.confirmed_events(ratios.filter("ratio is not null"), TAPE.references, TAPE.least_spike_ratio)
@@ -459,7 +459,7 @@ def _tests(spark, folder):
     return cut(regression.tests(regression.returns_at_horizons(_coarse(spark, folder), TAPE), _z(spark, folder)))
 
 
-@query("SELECT event_id, event_type, round(z, 6) AS z, round(move_ticks, 6) AS move_ticks FROM implied", ("implied",))
+@query("SELECT event_id, event_type, round(z, 6) + 0.0 AS z, round(move_ticks, 6) + 0.0 AS move_ticks FROM implied", ("implied",))
 def fomc_implied_surprise(spark, folder):
     return regression.implied_surprises(_coarse(spark, folder), TAPE)
 

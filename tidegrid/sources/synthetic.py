@@ -42,7 +42,7 @@ def books(spark: SparkSession, events: DataFrame, instruments: DataFrame, start_
     seconds = events.join(F.broadcast(instruments)).select("*", F.explode(F.sequence(F.lit(start_s), F.lit(end_s - 1))).alias("sec"))
     slots = seconds.select("*", F.explode(F.sequence(F.lit(0), (top - 1).cast("int"))).alias("slot"), top.alias("top"))
     key = [F.col(c) for c in ("window_id", "instrument", "sec", "slot")]
-    slots = slots.withColumn("off_ns", (F.col("sec") * NS + (F.col("slot") + uniform(seed, *key, F.lit("t"))) * NS / F.col("top")).cast("long"))
+    slots = slots.withColumn("off_ns", (F.col("sec").cast("long") * NS + (F.col("slot") + uniform(seed, *key, F.lit("t"))) * NS / F.col("top")).cast("long"))
     after = F.col("off_ns") / NS - F.col("lag_ms") / 1000
     live = F.col("effect") & (after >= 0)
     boost = F.when(live, 1 + (p.activity - 1) * F.pow(F.lit(2.0), -after / p.activity_half_life_s)).otherwise(1.0)
