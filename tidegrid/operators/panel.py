@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.functions.previous import with_previous
 from tidegrid.operators.counter_grid import Grid, ceil_div
 from tidegrid.schema import BID, DEPTH_LEVELS, FILL, KEYS, TRADE, levels_of
 
@@ -100,17 +101,16 @@ def baselines(coarse: DataFrame, window_s: tuple[int, int]) -> DataFrame:
     return inside.groupBy("window_id", "event_type", "stage", "instrument").agg(*[F.median(m).alias(f"base_{m}") for m in BASELINE_MEASURES if m in coarse.columns])
 
 
-def mid_changes(ticks: DataFrame, stages: DataFrame, window_s: tuple[int, int], on: tuple[str, ...] = ("window_id",)) -> DataFrame:
+def mid_changes(ticks: DataFrame, stages: DataFrame, window_s: tuple[int, int], on: tuple[str, ...] = ("window_id",), least_rows: int = 500_000) -> DataFrame:
     """Each change of the mid inside the window at its exact time: KEYS, offset_ns, mid_move (against the last mid before t0).
 
-    The first mid of the window and a mid after a one-sided book count as changes.
+    The first mid of the window and a mid after a one-sided book count as changes. Series of very many ticks are cut along time.
     """
     lo, hi = window_s[0] * 10**9, window_s[1] * 10**9
     t = staged(ticks, stages, list(on)).withColumn("mid", touch_mid())
     pre = t.filter("off < 0").groupBy(*KEYS).agg(F.max(F.struct("ts_event", "seq", "mid"))["mid"].alias("pre_mid"))
-    w = Window.partitionBy(*KEYS).orderBy("ts_event", "seq")
-    inside = t.filter(F.col("off").between(lo, hi)).withColumn("before", F.lag("mid").over(w))
-    changed = inside.filter(F.col("mid").isNotNull() & ~F.col("mid").eqNullSafe(F.col("before")))
+    inside = with_previous(t.filter(F.col("off").between(lo, hi)).select(*KEYS, "off", "ts_event", "seq", "mid"), KEYS, "ts_event", ["mid"], ("seq",), least_rows)
+    changed = inside.filter(F.col("mid").isNotNull() & ~F.col("mid").eqNullSafe(F.col("before.mid")))
     return changed.join(pre, KEYS, "left").select(*KEYS, F.col("off").alias("offset_ns"), (F.col("mid") - F.col("pre_mid")).alias("mid_move"))
 
 

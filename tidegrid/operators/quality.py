@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.functions.chunked import assign_chunks, join_carry
+from tidegrid.functions.previous import with_previous
 from tidegrid.operators.panel import is_trade
 
 NS = 10**9
@@ -24,7 +24,7 @@ def check_windows(ticks: DataFrame, windows: DataFrame, keys: list[str], core_s:
     t = ticks.join(windows.select(*keys, "start_ns", "end_ns", "t0_ns"), keys)
     both = F.col("bid_px_0").isNotNull() & F.col("ask_px_0").isNotNull()
     bad = (F.least("bid_sz_0", "ask_sz_0") < 0) | (is_trade() & (F.col("size") <= 0))
-    rows = _chunk(t, keys, "seq", ["ts_event"], least_rows)
+    rows = with_previous(t, keys, "seq", ["ts_event"], ("ts_event",), least_rows)
     counts = rows.groupBy(*keys).agg(
         F.count("*").alias("rows"), F.count_if(F.col("ts_event") < F.col("before.ts_event")).alias("out_of_order_timestamps"),
         F.count_if(both & (F.col("bid_px_0") > F.col("ask_px_0"))).alias("crossed_book_rows"), F.count_if(both & (F.col("bid_px_0") == F.col("ask_px_0"))).alias("locked_book_rows"),
@@ -41,23 +41,11 @@ def check_windows(ticks: DataFrame, windows: DataFrame, keys: list[str], core_s:
     return out.withColumns({"rows": F.coalesce("rows", F.lit(0)), "duplicate_records": F.coalesce("duplicate_records", F.when(F.col("rows") > 0, 0))})
 
 
-def _chunk(t: DataFrame, keys: list[str], order: str, carry: list[str], least_rows: int) -> DataFrame:
-    """Rows with `before`, a struct of the carried columns of the row before in the order given."""
-    c = assign_chunks(t, keys, order, least_rows)
-    last = F.struct(F.col(order).cast("long").alias("__o"), *[x for x in carry if x != order])
-    if order in carry:
-        last = F.struct(F.col(order).cast("long").alias("__o"), F.col(order), *[x for x in carry if x != order])
-    kind = c.df.select(last.alias("s")).schema["s"].dataType.simpleString()
-    carried = c.carry({"end": F.max(last)}, {"__c": (F.max("end"), True)})
-    rows = join_carry(c.df, carried, keys, ["__c"], {"__c": kind})
-    return rows.withColumn("before", F.coalesce(F.lag(last).over(c.window(F.col(order), F.hash(*carry))), F.col("__c"))).drop("__c")
-
-
 def _gaps(t: DataFrame, windows: DataFrame, keys: list[str], lo: str, hi: str, name: str, least_rows: int) -> DataFrame:
     inside = t.filter(F.col("ts_event").between(F.col(lo), F.col(hi))).select(*keys, "ts_event")
     have = t.select(*keys).distinct()
     edges = windows.join(have, keys, "left_semi").select(*keys, F.explode(F.array(lo, hi)).alias("ts_event"))
-    points = _chunk(inside.unionByName(edges).distinct(), keys, "ts_event", ["ts_event"], least_rows)
+    points = with_previous(inside.unionByName(edges).distinct(), keys, "ts_event", ["ts_event"], (), least_rows)
     return points.groupBy(*keys).agg((F.max(F.col("ts_event") - F.col("before.ts_event")) / NS).alias(name))
 
 
