@@ -43,7 +43,7 @@ def implausible_readings(
     readings: list[Reading],
     total: str | None = None,
     candidate: float = 2.5,
-    fence: float = 5.0,
+    fence: float = 4.6,
     run: int = 6,
     least_rows: int = 500_000,
 ) -> DataFrame:
