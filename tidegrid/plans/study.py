@@ -635,6 +635,56 @@ def best_rules(spark, folder):
 def cumulative_pnl(spark, folder):
     return strategy.cumulative(strategy.backtest(_coarse(spark, folder), tape.surprises(spark, folder), TAPE))
 
+# Small steps of the above, each by itself
+
+
+@query(f"SELECT window_id, instrument, seq, {', '.join('+'.join(f'bid_sz_{i} + ask_sz_{i}' for i in range(k)) + f' AS depth_{k}' for k in (1, 3, 5, 10))}, CAST(NULL AS BIGINT) AS depth_20 FROM ticks", ("ticks",))
+def depth_at_levels(spark, folder):
+    """Depth over the first levels of both sides; more levels than the source has are NULL."""
+    t = tape.ticks(spark, folder)
+    return t.select("window_id", "instrument", "seq", *[panel.depth(k, tape.LEVELS).alias(f"depth_{k}") for k in (1, 3, 5, 10, 20)])
+
+
+@query("SELECT window_id, instrument, seq, ask_px_0 - bid_px_0 AS spread, (bid_px_0 + ask_px_0) / 2.0 AS mid, action IN (3, 4) AS traded, CASE WHEN side = 1 THEN size ELSE -size END AS signed_size FROM ticks", ("ticks",))
+def touch_spread_mid(spark, folder):
+    t = tape.ticks(spark, folder)
+    return t.select("window_id", "instrument", "seq", (F.col("ask_px_0") - F.col("bid_px_0")).alias("spread"), panel.touch_mid().alias("mid"), panel.is_trade().alias("traded"), (F.col("size") * panel.signed()).alias("signed_size"))
+
+
+@query(f"SELECT {R('window_id', 'stage', 'instrument', **D('pre_mid'))} FROM pre", ("pre",))
+def pre_release_mid(spark, folder):
+    """The mid of the last update strictly before t0; NULL if that book was one-sided."""
+    t = panel.staged(tape.ticks(spark, folder), tape.stages(spark, folder), ["window_id"]).filter("off < 0")
+    return t.groupBy("window_id", "stage", "instrument").agg(F.max(F.struct("ts_event", "seq", panel.touch_mid().alias("mid")))["mid"].alias("pre_mid"))
+
+
+@query("""SELECT "group", instrument, round(avg(updates), 6) AS updates_per_step, round(avg(trades), 6) AS trades_per_step, round(avg(volume), 6) AS volume_per_step FROM liq GROUP BY ALL""", ("liq",))
+def activity_rates(spark, folder):
+    return _liq(spark, folder).groupBy("group", "instrument").agg(*[F.avg(c).alias(f"{c}_per_step") for c in ("updates", "trades", "volume")])
+
+
+@query("""SELECT "group", instrument, qty, round(avg(CASE WHEN insufficient_depth THEN 1.0 ELSE 0.0 END), 6) AS share, count(*) FILTER (insufficient_depth) AS points FROM walk GROUP BY ALL""", ("walk",))
+def insufficient_depth_share(spark, folder):
+    short = F.col("insufficient_depth")
+    return _costs(spark, folder).groupBy("group", "instrument", "qty").agg(F.avg(F.coalesce(short, F.lit(False)).cast("int")).alias("share"), F.count_if(short).alias("points"))
+
+
+@query()
+def case_sign_check(spark, folder):
+    """Signs of the slopes against an expectation by instrument; survival stands for |t| > 2."""
+    o = stats.ols_hc3(_tests(spark, folder), _TESTS, "z", "ret")
+    expected = F.coalesce(regression.mapped({"click": -1, "view": 1}, F.col("instrument"), "int"), F.lit(0))
+    survives = F.coalesce(F.abs("t") > 2, F.lit(False))
+    return o.select(*_TESTS, regression.sign_check(expected, F.col("beta"), survives).alias("sign_check"))
+
+
+SQL["case_sign_check"] = with_steps("SELECT 1 AS one", ("tests",)).replace(
+    "final AS (SELECT 1 AS one)",
+    ols_sql("tests", _TESTS, "z", "ret")
+    + f""", final AS (SELECT {', '.join(_TESTS)}, CASE WHEN coalesce(CASE instrument WHEN 'click' THEN -1 WHEN 'view' THEN 1 END, 0) = 0 THEN 'no expectation' WHEN sign(beta) = CASE instrument WHEN 'click' THEN -1 WHEN 'view' THEN 1 END THEN 'as expected'
+WHEN coalesce(abs(t) > 2, false) THEN 'WRONG SIGN: investigate' ELSE 'unexpected but not significant' END AS sign_check FROM o)""",
+)
+
 
 def queries() -> dict:
     return QUERIES
