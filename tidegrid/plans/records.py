@@ -9,6 +9,7 @@ from tidegrid.functions.clock import et_to_utc_ns, group_label
 from tidegrid.operators import calendar, costplan, quality, regression
 from tidegrid.plans.study import ET_HOURS, rounded, with_steps
 from tidegrid.sources import records, tape
+from tidegrid.sources.delimited import SURPRISE_FIELDS, Field, load_lines
 from tidegrid.sources.tables import table
 from tidegrid.streaming import replay
 
@@ -168,12 +169,24 @@ CASE WHEN fine AND na NOT BETWEEN lo AND hi THEN struct_pack(severity := 'warnin
 CASE WHEN fine AND (CASE WHEN contains(actual, '.') THEN length(str_split(actual, '.')[-1]) ELSE 0 END) > vd + 1 THEN struct_pack(severity := 'warning', fault := 'actual has more decimals than published') END,
 CASE WHEN fine AND (CASE WHEN contains(consensus, '.') THEN length(str_split(consensus, '.')[-1]) ELSE 0 END) > vd + 1 THEN struct_pack(severity := 'warning', fault := 'consensus has more decimals than published') END]) AS s FROM g) WHERE s IS NOT NULL""")
 def validate_surprise_rows(spark, folder):
-    """Faults of the unquoted ten-field lines of the hand-typed files."""
+    """Faults of the unquoted ten-field lines of the hand-typed files, as its SQL has them; validate_surprise_lines judges all."""
     lines = table(spark, folder, "surprise_lines").filter("line_no <> 1 and instr(line, '\"') = 0").select("line_id", F.split("line", ",", -1).alias("f")).filter("size(f) = 10")
     names = ["event_id", "event_type", "release_date", "variable", "actual", "consensus", "prior", "unit", "source_url", "notes"]
     return calendar.surprise_faults(lines.select("line_id", *[F.col("f")[i].alias(n) for i, n in enumerate(names)]), "line_id", None, "2024-01-01", "2024-12-31")
 
 
+@query()
+def validate_surprise_lines(spark, folder):
+    """Faults of all lines of the hand-typed files that hold ten fields, quoted or not, and of events that stages lacks.
+
+    Lines without ten soundly quoted fields have no row to judge; p5_reasons names them.
+    """
+    as_text = tuple(Field(f.name) for f in SURPRISE_FIELDS)
+    rows = load_lines(table(spark, folder, "surprise_lines"), "line", as_text, keep=("line_id",), header="line_no").filter("reason is null")
+    known = table(spark, folder, "stages").filter("event_id is not null").select("event_id")
+    return calendar.surprise_faults(rows.drop("reason"), "line_id", known, "2024-01-01", "2024-12-31")
+
+
 def _meetings(spark, folder):
     s = table(spark, folder, "stages").filter("event_type = 'FOMC'").select("stage_id", "event_date").distinct()
     k = F.col("stage_id") % 7
