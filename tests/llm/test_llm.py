@@ -164,6 +164,39 @@ def test_search_loses_nothing_against_exact_containment():
     assert len(exact) >= 60 and len(found & exact) >= 0.98 * len(exact) and found <= exact
 
 
+def best_stretch(spots, word_of, need, density, gap):
+    """Brute force over all pairs of places of each chain."""
+    for c in leakage.chains(spots, gap):
+        q = sorted({x for _, x in c})
+        for i in range(len(q)):
+            for j in range(i, len(q)):
+                if word_of[q[j] + leakage.SHINGLE - 1] - word_of[q[i]] + 1 >= need and (j - i + 1) / (q[j] - q[i] + 1) >= density:
+                    return True
+    return False
+
+
+def test_dense_stretches_of_thin_chains():
+    item = [f"x{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(80)]
+    index = leakage.build_index([(1, " ".join(item))])
+    reworded = item[:20] + [w if k % 14 in (10, 11, 12) else "other" for k, w in enumerate(item[20:])]  # a shingle stands every 14 words
+    for docs, want in [(item[:20], 1), (reworded, 1), (["other"] * 5 + reworded, 1), (reworded[20:], 0), (item[:14] + reworded[20:], 0), (reworded[20:] + ["other"] * 30 + item[40:60], 1)]:
+        ids = np.array([index.vocabulary.get(w, 0) for w in docs] + [0] * 64)
+        assert len(leakage.search(index, ids, np.array([0, len(ids)]), 11, 0.5, 16)) == want
+
+
+@given(st.lists(st.tuples(st.integers(1, 3), st.integers(-2, 6)), max_size=40), st.sampled_from([0.5, 0.6, 1.0]), st.integers(1, 3))
+@settings(max_examples=200, deadline=None)
+def test_stretches_against_brute_force(steps, density, tokens):
+    item = " ".join("-".join(f"w{chr(97 + (k * tokens + t) // 26)}{chr(97 + (k * tokens + t) % 26)}" for t in range(tokens)) for k in range(240 // tokens))
+    index = leakage.build_index([(1, item)])
+    spots, a, q = [], 0, 50
+    for da, dq in steps:
+        a, q = a + da, min(230, max(0, q + dq))
+        spots.append((a, q))
+    need = max(11, 0.9 * 0.25 * index.sizes[0])
+    assert leakage.verify(index, 0, spots, 11, density, 16) == best_stretch(spots, index.word_of[0], need, density, 16)
+
+
 # Personal details
 
 

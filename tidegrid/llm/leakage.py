@@ -217,36 +217,43 @@ def verify(index: Index, item: int, spots: list[tuple[int, int]], least_words: i
     need = max(least_words, slack * index.share * index.sizes[item])
     if len(spots) < density * (need - SHINGLE + 1):  # a word has at least one token, so it can't be dense enough
         return False
-    words, held = passage(spots, index.word_of[item], gap)
-    return words >= need and held >= density
+    return any(_holds(c, index.word_of[item], need, density) for c in chains(spots, gap))
 
 
-def passage(spots: list[tuple[int, int]], word_of: np.ndarray, gap: int, drift: int = 6) -> tuple[int, float]:
-    """Length in words of the longest passage of the item, and the share of its shingles that the document holds there.
+def chains(spots: list[tuple[int, int]], gap: int, drift: int = 6) -> Iterator[list[tuple[int, int]]]:
+    """The shared shingles of an item in chains, each a connected stretch of the document.
 
     Shared shingles are chained in the order of the document while at most `gap` tokens lie between and the place in the item
     moves on alike, within `drift` tokens for what was put in or left out; phrases that stand elsewhere in the item don't count.
     """
-    chains: list[list[tuple[int, int]]] = []
-    best = (0, 0.0)
+    live: list[list[tuple[int, int]]] = []
     for a, q in spots:
         home = None
-        for c in chains:
+        for c in live:
             if a - c[-1][0] <= gap and abs((q - c[-1][1]) - (a - c[-1][0])) <= drift:
                 home = c if home is None or len(c) > len(home) else home
         if home is None:
-            chains.append([(a, q)])
+            live.append([(a, q)])
         else:
             home.append((a, q))
-        chains, old = [c for c in chains if a - c[-1][0] <= gap], [c for c in chains if a - c[-1][0] > gap]
-        best = max([best, *(_extent(c, word_of) for c in old)])
-    return max([best, *(_extent(c, word_of) for c in chains)])
+        live, old = [c for c in live if a - c[-1][0] <= gap], [c for c in live if a - c[-1][0] > gap]
+        yield from old
+    yield from live
 
 
-def _extent(chain: list[tuple[int, int]], word_of: np.ndarray) -> tuple[int, float]:
-    spots = {q for _, q in chain}
-    low, high = min(spots), max(spots)
-    return int(word_of[high + SHINGLE - 1] - word_of[low]) + 1, len(spots) / (high - low + 1)
+def _holds(chain: list[tuple[int, int]], word_of: np.ndarray, need: float, density: float) -> bool:
+    """Whether some stretch of the item spans `need` words or more, of whose shingles the chain holds the share `density`.
+
+    Between two held places i <= j the share is (j - i + 1) / (q_j - q_i + 1), so for each end j the start with the least
+    i - density * q_i decides, among those far enough before it.
+    """
+    q = np.unique(np.array([x for _, x in chain]))
+    k = np.arange(len(q))
+    starts = np.minimum.accumulate(k - density * q)
+    # Starts up to `far` leave words enough to the end j.
+    far = np.searchsorted(word_of[q], word_of[q + SHINGLE - 1] + 1 - need, side="right") - 1
+    ends = far >= 0
+    return bool((k[ends] + 1 - density * (q[ends] + 1) >= starts[np.minimum(far, k)[ends]] - 1e-9).any())
 
 
 def leaks(
