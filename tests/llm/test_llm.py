@@ -263,5 +263,20 @@ def test_placeholders(spark):
     assert sanitise.personal_details(corpus(spark).limit(0), "doc_id", "text").count() == 0
 
 
+def test_overlapping_details_leave_nothing_behind(spark):
+    texts = {1: "ask John Michael Smith now", 2: "Contact Jane Smith", 3: "a Jane Smith, b", 4: "JaneSmith x"}
+    spans = [(1, 4, 16, "name"), (1, 9, 22, "name"), (2, 0, 12, "name"), (2, 8, 18, "name"), (3, 2, 12, "name"), (3, 2, 6, "email"), (3, 14, 15, "phone"), (4, 0, 4, "name"), (4, 4, 9, "email")]
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = spark.createDataFrame(spans, "doc_id long, start int, stop int, kind string")
+    got = {r["doc_id"]: (r["text"], r["n_details"]) for r in sanitise.replace_details(df, found, "doc_id", "text").collect()}
+    assert got == {1: ("ask [NAME] now", 1), 2: ("[NAME]", 1), 3: ("a [EMAIL], [PHONE]", 2), 4: ("[NAME][EMAIL] x", 2)}
+
+
+def test_three_capitalised_words(spark):
+    df = corpus(spark).filter("doc_id < 12").unionByName(spark.createDataFrame([(70, "see Zelvana Odile Zelvanb, then", 1, "c")], "doc_id long, text string, id int, kind string"))
+    out = sanitise.replace_details(df, sanitise.personal_details(df, "doc_id", "text"), "doc_id", "text").filter("doc_id = 70").first()
+    assert out["text"] == "see [NAME], then"
+
+
 def test_lines_count_line_feeds():
     assert sanitise._line_numbers("a\r\nb\rc\nd", [0, 3, 5, 7]) == [1, 2, 2, 3]

@@ -250,7 +250,7 @@ def personal_details(documents: DataFrame, doc_id: str, text: str, threshold_bit
 def replace_details(documents: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The documents with placeholders such as [EMAIL] for the details found, and n_details; everything else stays as it is.
 
-    Overlapping details become one placeholder, that of the first. The details of a document, bounded by its text, meet it in
+    Overlapping details become one placeholder, that of the first, for all that they cover together. The details of a document, bounded by its text, meet it in
     one join by doc_id. Documents with equal doc_id get the details of each of them.
     """
     spans = found.groupBy(doc_id).agg(F.sort_array(F.collect_set(F.struct("start", "stop", "kind"))).alias("__spans"))
@@ -264,10 +264,11 @@ def replace_details(documents: DataFrame, found: DataFrame, doc_id: str, text: s
             texts, counts = [], []
             for t, spans in zip(b.column(len(columns)).to_pylist(), b.column(len(columns) + 1).to_pylist()):
                 n, at, parts = 0, 0, []
-                for s in spans or []:
-                    if s["start"] >= at and t:
+                for s in spans or [] if t else []:
+                    if not n or s["start"] >= at:
                         parts += [t[at : s["start"]], f"[{s['kind'].upper()}]"]
-                        at, n = s["stop"], n + 1
+                        n += 1
+                    at = max(at, s["stop"])
                 texts.append("".join(parts) + t[at:] if t is not None else None)
                 counts.append(n)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(texts, pa.string()), pa.array(counts, pa.int32())], names=[*columns, text, "n_details"])
