@@ -212,6 +212,21 @@ def test_addresses_in_any_spelling(mail):
     assert kinds(f"write to <{mail}> soon") == {("email", mail)}
 
 
+def spellings():
+    ats = ["@", "＠", "&#64;", "&#x40;", "&commat;", "&COMMAT;", "%40", "\\u0040", "\\x40", *[f"{o}{b}{i}at{j}{e}{o}" for b, e in ("[]", "()", "{}", "<>") for i in ("", " ") for j in ("", " ") for o in ("", " ")]]
+    yield from (("email", f"jane{x}mail.example") for at in ats for x in {at, at.upper() if "at" in at and "&" not in at else at})
+    ni = [f"ni{s}{w}" for s in ("", " ", "_", "-") for w in ("no", "number", "nr")]
+    rest = ["ssn", "nino", *[f"{a}{s}{b}" for s in ("", " ", "_", "-") for a, b in (("social", "security"), ("national", "insurance"), ("national", "id"), ("personal", "number"), ("identity", "card"), ("tax", "id"), ("driver's", "licence"), ("driving", "license"))], "id card", "id-card", "id_card", "passport"]
+    yield from (("id_number", f"{w}: 811024-7093") for k in ni + rest for w in (k, k.upper()))
+    yield from (("name", f'{{"{a}{s}{n}": "Jane", "{b}{s}{n}": "Smith"}}') for a, b in (("first", "last"), ("FIRST", "LAST"), ("given", "family"), ("Fore", "Sur")) for s in ("", "_") for n in ("name", "Name", "NAME"))
+    yield from (("phone", f"+{n}") for n in ("123456789", "1234567890", "18145550176"))
+
+
+@pytest.mark.parametrize(("kind", "text"), [*spellings()])
+def test_every_spelling_passes_its_precheck(kind, text):
+    assert kind in {d[0] for d in sanitise.details(text)}
+
+
 @pytest.mark.parametrize("text", [
     "git clone git@forge.host.test:a/b.git", "dsn = postgres://svc:pw12@db.host.test:5432/x", "pinned filter@2.8.4", "@route.setter", "reply to <EMAIL> or call [PHONE]", "SSN format is NNN-NN-NNNN, never log it",
     "order no 244356516905 rev 5", "pi is 3.14159 26535, e is 2.71828 18284", "listen 192.0.2.137:8057", "uuid 064d2462-3505-4366-aed7-48a3891448ee", "build 2016-11-24.8", "53 Main Loop iterations, then Close", "Hash Street is the name of a queue", "",

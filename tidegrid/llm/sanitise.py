@@ -26,6 +26,8 @@ EMAIL = re.compile(rf"({LOCAL})(?:{AT}(?:[A-Za-z0-9-]+{DOT})+[A-Za-z]{{2,}}|[ ]a
 #: Places worth trying: the search for addresses looks only around these.
 _AT_PLACE = re.compile(r"[@＠]|&(?:#64|#x40|commat);|%40|\\[ux]0{0,2}40|(?<![A-Za-z])at(?![A-Za-z])", re.I)
 _AT_SIGN = re.compile(r"[@＠]|&(?:#64|#x40|commat);|%40|\\[ux]0{0,2}40", re.I)
+#: How AT begins where it is spelt in brackets.
+_AT_WORDS = tuple(f"{b}{s}at" for b in "[({<" for s in ("", " "))
 #: Code points before and behind such a place in which an address stands.
 _BEFORE, _BEHIND = 80, 200
 
@@ -38,7 +40,8 @@ ID_NUMBER = re.compile(
     ([A-Z]{0,6}[ ]?\d(?:[ ./-]?[0-9A-Z]){3,16})(?![a-z])""",
     re.I | re.X,
 )
-_ID_WORDS = ("ssn", "nino", "ni no", "ni-no", "ni_no", "ni nu", "security", "national", "personal", "identity", "id card", "id-card", "id_card", "passport", "tax", "licen")
+#: Of these, one is part of whatever ID_NUMBER accepts.
+_ID_WORDS = (*(f"ni{s}{w}" for s in ("", " ", "_", "-") for w in ("no", "nu", "nr")), "ssn", "security", "national", "personal", "identity", "id card", "id-card", "id_card", "passport", "tax", "licen")
 
 PHONE = re.compile(
     r"""(?<![\w.,/+-])(?:
@@ -70,7 +73,7 @@ ADDRESS_ABROAD = re.compile(
 )
 _ABROAD = "rue avenue boulevard place chemin calle via rua avenida plaza paseo ulica ul. straat gasse strasse straße str. weg laan gade gatan vägen plein platz allee".split()
 _NUMBER_NAME = re.compile(rf"\d[A-Za-z]?,? {_UP}")
-_DIGIT_GAP = re.compile(r"\+\d{10}|\d[ ./()-]{1,2}\d")
+_DIGIT_GAP = re.compile(r"\+\d{9}|\d[ ./()-]{1,2}\d")
 _TWO_WORDS = re.compile(rf"(?:{_UP}[\w.'’-]*,? {_UP})")
 #: The rest of an address behind the street: flat, postcode, town.
 ADDRESS_REST = re.compile(
@@ -135,7 +138,7 @@ def details(text: str) -> list[tuple[str, int, int, str | None, str | None, int]
             b = rest.end() if rest and free(a, rest.end()) else b
             out.append(("address", a, b, None, None, 0))
             taken.append((a, b))
-    if _HAS_KEY in text:
+    if _HAS_KEY in lower:
         for m in KEYED.finditer(text):
             if free(*m.span()):
                 out.append(("name", m.start(1), m.end(2), m[1].lower(), m[2].lower(), 2))
@@ -157,8 +160,8 @@ def details(text: str) -> list[tuple[str, int, int, str | None, str | None, int]
 
 def _addresses(text: str, lower: str) -> Iterator[tuple[int, int, str]]:
     """(start, stop, local part) of what looks like an e-mail address, in any spelling."""
-    spelt = " dot " in lower or "dot)" in lower or "dot]" in lower or "(at" in lower or "[at" in lower or "{at" in lower or "<at" in lower
-    if not (spelt or "@" in text or "＠" in text or "%40" in text or "&#" in text or "&commat" in text or "u0040" in lower or "x40" in lower):
+    spelt = " dot " in lower or any(w in lower for w in _AT_WORDS)
+    if not (spelt or "@" in text or "＠" in text or "%40" in text or "&#" in text or "&commat" in lower or "u0040" in lower or "x40" in lower):
         return
     done = 0
     for place in _AT_PLACE.finditer(text) if spelt else _AT_SIGN.finditer(text):
