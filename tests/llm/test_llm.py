@@ -269,6 +269,27 @@ def test_names_are_learned_from_the_corpus(spark):
     assert {(r["doc_id"], r["line_no"]) for r in found} == {(k, 41) for k in range(12)} | {(50, 42), (50, 43), (50, 44)}
 
 
+def test_names_in_any_case_and_script(spark):
+    filler = "the parser keeps the stream open while the cache is cold\n" * 40
+    people = [("Odile", "McZelvan"), ("Jan", "van der Berzel"), ("Łukasz", "Dvořázek"), ("Ona", "O'Brizen"), ("Zoë", "Quintrel-DeVrook"), ("Павел", "Zorvanov")]
+    plain = {"Łukasz": "lukasz", "Dvořázek": "dvorazek", "O'Brizen": "o'brizen", "Zoë": "zoe", "Павел": "pavel", "van der Berzel": "berzel"}
+    docs = [(k, f"{filler}by {a} {b} <{plain.get(a, a.lower())}.{plain.get(b, b.lower())}@mail.test>\n{filler}") for k, (a, b) in enumerate(people * 6)]
+    docs += [(100 + k, f"{filler}thanks to {t}, done\n") for k, (a, b) in enumerate(people) for t in [f"{a} {b}"]]
+    docs += [(200 + k, f"{filler}thanks to {t}, done\n") for k, (a, b) in enumerate(people) for t in [f"{a} {b}".lower()]]
+    docs += [(300, f"{filler}thanks to BERZEL, jan and\n"), (301, f"{filler}see lukasz dvorazek\n"), (302, f"{filler}see odile k. mczelvan\n")]
+    docs += [(400, f"{filler}odile said that mczelvan went\n"), (401, f"{filler}mail odile.mczelvan@mail.test or run odile/mczelvan\n"), (402, f"{filler}Bloom Filter of HashMap Tree\n")]
+    docs += [(500, f"{filler}from rika solvander <rika.solvander@mail.test>\n"), (501, f"{filler}from p solvander rsolvander@mail.test the mail host\n")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["line_no"]) for r in sanitise.personal_details(df, "doc_id", "text").filter("kind = 'name'").collect()}
+    assert got == {(k, 41) for k in [*range(36), *range(100, 106), *range(200, 206), 300, 301, 302, 500]}
+
+
+@given(st.text(alphabet="aBc'-.@ 1_/", max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_ascii_words_are_the_same(text):
+    assert [*sanitise._loose_words(text)] == [(sanitise.folded(m[0]), m.start(), m.end()) for m in sanitise._LOOSE.finditer(text)]
+
+
 def test_placeholders(spark):
     df = corpus(spark).filter("doc_id = 0 or doc_id > 50")
     found = sanitise.personal_details(corpus(spark), "doc_id", "text")

@@ -9,8 +9,10 @@ that contains it (pointwise mutual information, in bits). A pair holding a word
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -74,17 +76,46 @@ ADDRESS_ABROAD = re.compile(
 _ABROAD = "rue avenue boulevard place chemin calle via rua avenida plaza paseo ulica ul. straat gasse strasse straße str. weg laan gade gatan vägen plein platz allee".split()
 _NUMBER_NAME = re.compile(rf"\d[A-Za-z]?,? {_UP}")
 _DIGIT_GAP = re.compile(r"\+\d{9}|\d[ ./()-]{1,2}\d")
-_TWO_WORDS = re.compile(rf"(?:{_UP}[\w.'’-]*,? {_UP})")
 #: The rest of an address behind the street: flat, postcode, town.
 ADDRESS_REST = re.compile(
     rf"(?:,? (?:Flat|Apt|Apartment|Unit|Suite|FLAT|APT|UNIT)\.? \d+[A-Za-z]?)?(?:,? (?:[A-Z]{{2}} ?)?\d{{4,5}}(?: [A-Z]{{2}})?)?(?:,? {_UP}[\w-]+(?: {_UP}[\w-]+)?)?(?:,? (?:[A-Z]{{2}} )?\d{{4,5}}(?: [A-Z]{{2}})?(?![\w-]))?"
 )
 
-_WORD = r"[A-ZÀ-ÖØ-Þ](?:[a-zß-öø-ÿ]+(?:['’][a-zß-öø-ÿ]+)*(?:-[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)*|[A-ZÀ-ÖØ-Þ]+(?:-[A-ZÀ-ÖØ-Þ]{2,})*)"
-PAIR = re.compile(rf"(?<![\w@.+%/-])(?:(Dr|Mr|Mrs|Ms|Miss|Prof|DR|MR|MRS|MS|PROF)\.? )?({_WORD})(?=((?: [A-Z]\.)? |, )({_WORD})(?![\w@]))")
-KEYED = re.compile(rf"(?:first|given|fore)_?name[\"']?\s*[:=]\s*[\"']?({_WORD})[\"']?[,;]?[ \t]*[\"']?(?:last|sur|family)_?name[\"']?\s*[:=]\s*[\"']?({_WORD})", re.I)
+
+def _letters(wanted) -> str:
+    """The letters of the kind as a class of ranges, without brackets. Beyond these planes no script has case but rare ones."""
+    points = [c for c in [*range(0x41, 0x2E00), *range(0xA640, 0xA800), *range(0xFF21, 0xFF5B), *range(0x10400, 0x10500)] if wanted(chr(c))]
+    cuts = [k for k in range(1, len(points)) if points[k] != points[k - 1] + 1]
+    return "".join(f"{chr(points[i])}-{chr(points[j - 1])}" for i, j in zip([0, *cuts], [*cuts, len(points)]))
+
+
+#: Upper-case letters; lower-case letters and the marks that stand for accents.
+_CAPITAL = f"[{_letters(lambda c: c.isupper() or c.istitle())}]"
+_SMALL = f"[{_letters(str.islower)}\u0300-\u036f]"
+#: Dvořák, McDonald, O'Brien, Xxx-Yyy; DVOŘÁK, O'BRIEN, XXX-YYY.
+_CAPITALISED = rf"(?:{_CAPITAL}['’])?{_CAPITAL}{_SMALL}+(?:{_CAPITAL}{_SMALL}+)*(?:['’]{_CAPITAL}?{_SMALL}+)*"
+_WORD = rf"(?:{_CAPITALISED}(?:-{_CAPITALISED})*|(?:{_CAPITAL}['’])?{_CAPITAL}{{2,}}(?:['’]{_CAPITAL}+)*(?:-{_CAPITAL}{{2,}})*)"
+#: Words inside a surname.
+_PARTICLES = "van von vom der den de del della di da das dos du la le las los ter ten te zu zum zur bin ibn al el af av".split()
+_PARTICLE = "|".join([*_PARTICLES, *(w.capitalize() for w in _PARTICLES), *(w.upper() for w in _PARTICLES)])
+_BETWEEN = rf"(?:(?: [A-Z]\.)? |, )(?:(?:{_PARTICLE}) ){{0,3}}"
+PAIR = re.compile(rf"(?<![\w@.+%/-])(?:(Dr|Mr|Mrs|Ms|Miss|Prof|DR|MR|MRS|MS|PROF)\.? )?({_WORD})(?=({_BETWEEN})({_WORD})(?![\w@]))")
+#: A word in any case and script.
+_LETTER = r"[^\W\d_][\u0300-\u036f]*"
+_ANY_WORD = rf"(?:{_LETTER}['’])?(?:{_LETTER}){{2,}}(?:['’-](?:{_LETTER})+)*"
+#: Such a word outside addresses and paths; what may stand between the two words of a name in any case.
+_LOOSE = re.compile(rf"(?<![\w@.+%/-]){_ANY_WORD}(?![\w@]|[.]\w)")
+_LOOSE_ASCII = re.compile(r"(?<![\w@.+%/-])(?:[a-z]')?[a-z]{2,}(?:['-][a-z]+)*(?![\w@]|[.]\w)", re.A)
+_LOOSE_BETWEEN = re.compile(rf"(?:(?: [^\W\d_]\.)? |, )(?:(?:{'|'.join(_PARTICLES)}) ){{0,3}}", re.I)
+_BOTH_CAPITALISED = re.compile(rf"{_WORD}\n{_WORD}")
+_NO_NAMES = frozenset(_PARTICLES)
+KEYED = re.compile(rf"(?:first|given|fore)_?name[\"']?\s*[:=]\s*[\"']?({_ANY_WORD})[\"']?[,;]?[ \t]*[\"']?(?:last|sur|family)_?name[\"']?\s*[:=]\s*[\"']?({_ANY_WORD})", re.I)
 _HAS_KEY = "name"
 _TITLES = frozenset("dr mr mrs ms miss prof".split())
+#: The evidence of a pair in other than capitalised words.
+LOOSE = 3
+#: Letters that have no accent to take off.
+_PLAIN = str.maketrans({"ł": "l", "ø": "o", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i", "’": "'", "þ": "th", "ð": "d"})
 KINDS = ("email", "phone", "id_number", "address", "name")
 SCHEMA = "{id}, line_no bigint, kind string, start int, stop int, first string, second string, evidence int, words bigint"
 
@@ -93,11 +124,48 @@ def _digits(s: str) -> int:
     return sum(c.isdigit() for c in s)
 
 
+def folded(word: str) -> str:
+    """The word without case and accents, by which its occurrences are counted together."""
+    word = word.lower()
+    if word.isascii():
+        return word
+    return "".join(c for c in unicodedata.normalize("NFKD", word.translate(_PLAIN)) if not unicodedata.combining(c))
+
+
+def _loose_words(text: str) -> Iterator[tuple[str, int, int]]:
+    """(folded word, start, stop) of the words of a text that are no part of an address, path or package name."""
+    if text.isascii():  # the same words, several times faster
+        for m in _LOOSE_ASCII.finditer(text.lower()):
+            yield m[0], m.start(), m.end()
+        return
+    for m in _LOOSE.finditer(text):
+        yield folded(m[0]), m.start(), m.end()
+
+
+def _loose_pairs(text: str, words: Iterable[tuple[str, int, int]]) -> Iterator[tuple[str, str, int, int]]:
+    """(first, second, start, stop) of neighbours among the words that PAIR doesn't take."""
+    before = None
+    for w in words:
+        if w[0] in _NO_NAMES or w[0] in _TITLES:
+            continue
+        if before and w[1] - before[2] <= 32 and _LOOSE_BETWEEN.fullmatch(text, before[2], w[1]) and not _BOTH_CAPITALISED.fullmatch(f"{text[before[1]:before[2]]}\n{text[w[1]:w[2]]}"):
+            yield before[0], w[0], before[1], w[2]
+        before = w
+
+
+def _made_of(local: str, first: str, second: str) -> bool:
+    """Whether an address holds both words, or one of them and the initial of the other."""
+    for w, other in ((first, second), (second, first)):
+        if len(w) > 2 and w in local and (len(other) > 2 and other in local or local.replace(w, "", 1).strip("._+-0123456789") == other[0]):
+            return True
+    return False
+
+
 def details(text: str) -> list[tuple[str, int, int, str | None, str | None, int]]:
     """Details of a text as (kind, start, stop, None, None, 0) and candidate names as ("name", start, stop, word, word, evidence).
 
     evidence: 2 if the text itself names the parts of the name, 1 if an address on the same line contains one of the words or
-    a title stands before them, else 0.
+    a title stands before them, LOOSE if the words aren't both capitalised and an address on the same line is made of them, else 0.
     """
     out: list[tuple[str, int, int, str | None, str | None, int]] = []
     taken: list[tuple[int, int]] = []
@@ -141,10 +209,10 @@ def details(text: str) -> list[tuple[str, int, int, str | None, str | None, int]
     if _HAS_KEY in lower:
         for m in KEYED.finditer(text):
             if free(*m.span()):
-                out.append(("name", m.start(1), m.end(2), m[1].lower(), m[2].lower(), 2))
+                out.append(("name", m.start(1), m.end(2), folded(m[1]), folded(m[2]), 2))
                 taken.append(m.span())
-    for m in PAIR.finditer(text) if _TWO_WORDS.search(text) else ():
-        first, second = m[2].lower(), m[4].lower()
+    for m in PAIR.finditer(text):
+        first, second = folded(m[2]), folded(m[4])
         a, b = m.start(2), m.end(4)
         if first in _TITLES or second in _TITLES or not free(a, b):
             continue
@@ -155,6 +223,15 @@ def details(text: str) -> list[tuple[str, int, int, str | None, str | None, int]
             evidence = int(any((len(w) > 2 and w in x) for x in near for w in (first, second, *second.split("-"))))
         # A title before capitalised words is weaker than an address, but of the same kind.
         out.append(("name", a, b, first, second, evidence or int(bool(m[1]))))
+    lines: dict[int, list[str]] = {}
+    for p, x in mails:
+        lines.setdefault(text.rfind("\n", 0, p) + 1, []).append(x)
+    for low, near in lines.items():
+        high = text.find("\n", low)
+        line = text[low : high if high >= 0 else len(text)]
+        for first, second, a, b in _loose_pairs(line, _loose_words(line)):
+            if free(low + a, low + b) and any(_made_of(x, first, second) for x in near):
+                out.append(("name", low + a, low + b, first, second, LOOSE))
     return out
 
 
@@ -214,26 +291,80 @@ def scan(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     return documents.select(doc_id, text).mapInArrow(run, SCHEMA.format(id=f"id {kind}"))
 
 
+def _base(scanned: DataFrame) -> float:
+    """Share of the words of the corpus that stand beside evidence."""
+    total = scanned.agg(F.sum("words").alias("words"), F.count_if((F.col("evidence") > 0) & (F.col("evidence") != LOOSE)).alias("evidence")).first()
+    return max(1, total["evidence"] or 0) / max(1, total["words"] or 0)
+
+
+def _bits(base: float):
+    return F.log2(F.col("e") / (F.col("n") + 1) / F.lit(base))
+
+
+def _by_word(names: DataFrame) -> DataFrame:
+    """word, n pairs that hold it and e of them with evidence."""
+    seen = names.select(F.explode(F.array("first", "second")).alias("word"), (F.col("evidence") > 0).cast("int").alias("e"))
+    return seen.groupBy("word").agg(F.count("*").alias("n"), F.sum("e").alias("e")).filter("e > 0")
+
+
 def disclosure(scanned: DataFrame, threshold_bits: float = 9.0) -> DataFrame:
     """The words that reveal protected entities: word, bits. All documents are counted.
 
     bits = log2(P(evidence | word) / P(evidence)), where P(evidence) is taken over all words of the corpus and a word's own
     share is damped by one more occurrence without evidence.
     """
-    names = scanned.filter("kind = 'name'")
-    total = scanned.agg(F.sum("words").alias("words"), F.count_if(F.col("evidence") > 0).alias("evidence")).first()
-    base = max(1, total["evidence"] or 0) / max(1, total["words"] or 0)
-    seen = names.select(F.explode(F.array("first", "second")).alias("word"), (F.col("evidence") > 0).cast("int").alias("e"))
-    by_word = seen.groupBy("word").agg(F.count("*").alias("n"), F.sum("e").alias("e")).filter("e > 0")
-    bits = F.log2(F.col("e") / (F.col("n") + 1) / F.lit(base))
-    return by_word.select("word", bits.alias("bits")).filter(F.col("bits") >= threshold_bits)
+    names = scanned.filter(f"kind = 'name' and evidence <> {LOOSE}")
+    return _by_word(names).select("word", _bits(_base(scanned)).alias("bits")).filter(F.col("bits") >= threshold_bits)
+
+
+def loose_names(documents: DataFrame, scanned: DataFrame, doc_id: str, text: str, threshold_bits: float, most_words: int = 1_000_000) -> DataFrame:
+    """Names not written in capitalised words: id, line_no, start, stop, bits; one more pass over the texts.
+
+    The words with any evidence go to the tasks (an error beyond `most_words`). Their disclosure is measured anew, over all
+    their occurrences in any case, since common words are names in capitals only. In small letters the neighbour of a
+    disclosing word may be any word: a pair is a name if one word reaches the threshold and the other discloses too.
+    """
+    known = _by_word(scanned.filter("kind = 'name'")).select("word", "e")
+    rows = known.limit(most_words + 1).collect()
+    if len(rows) > most_words:
+        raise ValueError(f"more than {most_words} words beside addresses")
+    shared = documents.sparkSession.sparkContext.broadcast(frozenset(r["word"] for r in rows) - _NO_NAMES - _TITLES)
+    kind = documents.schema[doc_id].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value
+        for b in batches:
+            found: list[tuple] = []
+            counts: Counter = Counter()
+            for i, t in enumerate(b.column(1).to_pylist() if wanted else ()):
+                hits = [w for w in _loose_words(t) if w[0] in wanted] if t else []
+                counts.update([w[0] for w in hits])
+                pairs = [*_loose_pairs(t, hits)] if len(hits) > 1 else []
+                if pairs:
+                    found += [(i, n, a, z, x, y, None) for n, (x, y, a, z) in zip(_line_numbers(t, [p[2] for p in pairs]), pairs)]
+            found += [(None, None, None, None, w, None, n) for w, n in counts.items()]
+            if found:
+                columns = list(zip(*found))
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64()]
+                ids = b.column(0).take(pa.array(columns[0], pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, k) for c, k in zip(columns[1:], kinds)]], names=["id", "line_no", "start", "stop", "first", "second", "n"])
+
+    seen = cut(documents.select(doc_id, text).mapInArrow(run, f"id {kind}, line_no bigint, start int, stop int, first string, second string, n bigint"))
+    counted = seen.filter("n is not null").groupBy(F.col("first").alias("word")).agg(F.sum("n").alias("n"))
+    measured = known.join(counted, "word").select("word", _bits(_base(scanned)).alias("bits"))
+    pairs = seen.filter("n is null")
+    for side in ("first", "second"):
+        pairs = pairs.join(measured.select(F.col("word").alias(side), F.col("bits").alias(f"{side}_bits")), side)
+    pairs = pairs.withColumn("bits", F.greatest("first_bits", "second_bits")).filter((F.col("bits") >= threshold_bits) & (F.least("first_bits", "second_bits") > 0))
+    return pairs.select("id", "line_no", "start", "stop", "bits")
 
 
 def personal_details(documents: DataFrame, doc_id: str, text: str, threshold_bits: float = 9.0) -> DataFrame:
     """One row (doc_id, line_no, kind, start, stop, bits) per detail; start and stop count code points of the text.
 
-    Kinds: email, phone, id_number, address, name. One pass over the texts yields the details and the candidate names; the
-    words' disclosure comes from counts of all candidates and is joined back to them. Candidates and details are written to
+    Kinds: email, phone, id_number, address, name. One pass over the texts yields the details and the capitalised candidate
+    names; the words' disclosure comes from counts of all candidates and is joined back to them. A second pass looks up the
+    words so found in any other case. Candidates and details are written to
     the shared checkpoint folder once. Defined cases: NULL and empty texts hold nothing; lines count from 1 and end at each
     line feed; a detail belongs to the line in which it begins; repeated documents are found each; clone addresses,
     connection strings and package versions are no e-mail addresses; other columns are not read.
@@ -247,7 +378,11 @@ def personal_details(documents: DataFrame, doc_id: str, text: str, threshold_bit
         pairs = pairs.join(w, side, "left")
     bits = F.greatest("first_bits", "second_bits")
     names = pairs.withColumn("bits", bits).filter("bits is not null or evidence > 0").select("id", "line_no", "kind", "start", "stop", "bits")
-    return fixed.unionByName(names).withColumnRenamed("id", doc_id)
+    loose = loose_names(documents, scanned, doc_id, text, threshold_bits)
+    own = scanned.filter(f"evidence = {LOOSE}").select("id", "start", "stop").alias("o")
+    same = F.col("l.id").eqNullSafe(F.col("o.id")) & (F.col("l.start") == F.col("o.start")) & (F.col("l.stop") == F.col("o.stop"))
+    loose = loose.alias("l").join(own, same, "left_anti").select("id", "line_no", F.lit("name").alias("kind"), "start", "stop", "bits")
+    return fixed.unionByName(names).unionByName(loose).withColumnRenamed("id", doc_id)
 
 
 def replace_details(documents: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
