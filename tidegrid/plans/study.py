@@ -396,6 +396,13 @@ final AS (SELECT {R('group', 'instrument', 'offset_s', 'n_events', **D('mean', '
 )
 
 
+@query()
+def curve_bands(spark, folder):
+    """The curves of all four measures with their bands."""
+    p = liquidity.curve_points(_liq(spark, folder), TAPE.curve_s)
+    return stats.curve_intervals(p, ["group", "instrument", "measure"], "window_id", "offset_s", "value", TAPE.reps, TAPE.seed)
+
+
 # Reaction
 
 
@@ -422,6 +429,12 @@ def first_mover_ranking(spark, folder):
     return reaction.ranking(_first(spark, folder), TAPE).drop("lo", "hi", "diff_lo", "diff_hi")
 
 
+@query()
+def first_mover_intervals(spark, folder):
+    """The ranking with the intervals of both medians."""
+    return reaction.ranking(_first(spark, folder), TAPE)
+
+
 @query(f"SELECT {R('window_id', 'event_type', 'stage', 'instrument', 'horizon_s', **D('mid_move', 'abs_move_ticks', 'vol_1s', 'abs_move_vol'))} FROM jumps", ("jumps",))
 def jump_sizes(spark, folder):
     return reaction.jump_sizes(_coarse(spark, folder), TAPE)
