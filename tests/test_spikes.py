@@ -74,6 +74,20 @@ def test_runs_across_cuts(spark, least):
     assert {k[0] for k, f in got.items() if f[2]} == want
 
 
+@pytest.mark.parametrize("least", [7, 11, 40])
+def test_spikes_across_cuts(spark, least):
+    r = random.Random(9)
+    rows = source(300) + [[1000 + k, "cold", at(k), 1000, 10, 2.0, ""] for k in range(5)]
+    for k in range(0, 300, 3):
+        rows[k][4] = r.choice([10, 18, 22, 26, 30])
+        rows[k][5] = r.choice([2.0, 2.4, 2.8, 3.2])
+    for k in r.sample(range(300), 20):
+        rows[k][r.choice([3, 4])] = r.choice([None, 0])
+    rows[0][2] = rows[1][2] = None
+    want = {k for k, v in run(spark, rows).items() if v[1]}
+    assert len(want) >= 8 and {k for k, v in run(spark, rows, least).items() if v[1]} == want
+
+
 def test_empty_and_null(spark):
     assert run(spark, []) == {}
     assert run(spark, [[1, None, None, None, None, None, None], [2, None, None, None, 5, float("nan"), None]]) == {(2, "g"): (True, False, False)}

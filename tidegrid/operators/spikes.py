@@ -17,6 +17,8 @@ from tidegrid.functions.chunked import CHUNK, assign_chunks, join_carry
 
 #: Spread of the detail of white noise of unit variance at the levels 1 to 3 of the kernel (1/4, 1/2, 1/4).
 LEVEL_SPREAD = (0.6124, 0.2740, 0.1723)
+#: Readings to each side on which the detail of the third level depends: 1 + 2 + 4.
+REACH = 7
 
 
 @dataclass(frozen=True)
@@ -92,9 +94,11 @@ def implausible_readings(
     df = df.withColumn("length", F.count("*").over(of_run))
     df = _join_runs(df, keys) if chunked.cut else df
 
-    # Undecimated wavelet on the possible readings; at the ends of a chunk the reading itself stands in for a missing neighbour.
+    # Undecimated wavelet on the possible readings; at the ends of a series the reading itself stands in for a missing neighbour.
     level, details = F.col("y"), []
     fine = Window.partitionBy(*keys, CHUNK, F.col("y").isNull()).orderBy(*order)
+    df = df.withColumn("beyond", F.lit(False))
+    df = df.unionByName(_beyond_cuts(df, keys), allowMissingColumns=True) if chunked.cut else df
     for j in range(3):
         here = f"a{j}"
         df = df.withColumn(here, level)
@@ -103,6 +107,7 @@ def implausible_readings(
         df = df.withColumn(f"d{j + 1}", F.col(here) - F.col(f"a{j + 1}"))
         level = F.col(f"a{j + 1}")
         details.append(f"d{j + 1}")
+    df = df.filter("not beyond")
 
     # Robust centre and spreads by source: mergeable sketches, so a large source needs no task of its own.
     centre = df.filter(F.col("y").isNotNull()).groupBy(*keys).agg(
@@ -127,6 +132,23 @@ def implausible_readings(
     )
 
 
+def _beyond_cuts(df: DataFrame, keys: list[str]) -> DataFrame:
+    """For each chunk the possible readings next to it in other chunks, as many on each side as the wavelet reaches.
+
+    Of each chunk as many are taken from either end, so what is gathered by key is bounded by the number of its chunks.
+    """
+    in_chunk = Window.partitionBy(*keys, CHUNK)
+    first = F.row_number().over(in_chunk.orderBy("__t", "__id")) <= REACH
+    last = F.row_number().over(in_chunk.orderBy(F.col("__t").desc_nulls_last(), F.col("__id").desc())) <= REACH
+    ends = df.filter("y is not null").select(*keys, CHUNK, "__t", "__id", "y", (first | last).alias("end")).filter("end")
+    # A chunk without a possible reading has no details to compute.
+    series = ends.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(CHUNK, "__t", "__id", "y"))).alias("all"), F.array_distinct(F.collect_list(CHUNK)).alias("chunks"))
+    series = series.filter(F.size("chunks") > 1).select(*keys, "all", F.explode("chunks").alias("to"))
+    before, after = F.filter("all", lambda x: x[CHUNK] < F.col("to")), F.filter("all", lambda x: x[CHUNK] > F.col("to"))
+    near = F.concat(F.slice(before, F.greatest(F.size(before) - REACH + 1, F.lit(1)), REACH), F.slice(after, 1, REACH))
+    return series.select(*keys, F.col("to").alias(CHUNK), F.explode(near).alias("x")).select(*keys, CHUNK, "x.__t", "x.__id", "x.y", F.lit(True).alias("beyond"))
+
+
 def _join_runs(df: DataFrame, keys: list[str]) -> DataFrame:
     """Add to the runs that touch a cut what belongs to them beyond it, over one summary row per chunk."""
     edge = df.groupBy(*keys, CHUNK).agg(
