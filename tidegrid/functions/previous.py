@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.functions.chunked import assign_chunks, join_carry
+from tidegrid.functions.chunked import CHUNK, PIECE, assign_chunks
 
 
-def with_previous(df: DataFrame, keys: list[str], order: str, columns: list[str], tie: tuple[str, ...] = (), least_rows: int = 500_000) -> DataFrame:
-    """`df` with `before`: a struct of tie and columns of the row before in the order (order, tie), NULL for the first of a key.
+def with_previous(df: DataFrame, keys: list[str], order: str, columns: list[str], tie: tuple[str, ...] = (), piece: int = PIECE, source: DataFrame | None = None) -> DataFrame:
+    """`df` with `before`: a struct of order, tie and columns of the row before in the order (order, tie), NULL for the first of a key.
 
-    order is a LONG. Keys of very many rows are cut along it, and the last row of each piece is carried on to the next.
+    order is a LONG. Long keys are cut along it, and the last row of each piece is carried on to the next.
     """
-    c = assign_chunks(df, keys, order, least_rows)
-    last = F.struct(F.col(order).cast("long").alias("__o"), *dict.fromkeys([*tie, *columns]))
+    by = [order, *[t for t in tie if t != order]]
+    c = assign_chunks(df, keys, by, piece, source)
+    last = F.struct(F.col(order).cast("long").alias("__o"), *dict.fromkeys([*by[1:], *columns]))
     kind = c.df.select(last.alias("s")).schema["s"].dataType.simpleString()
-    carried = c.carry({"end": F.max(last)}, {"__c": (F.max("end"), True)})
-    rows = join_carry(c.df, carried, keys, ["__c"], {"__c": kind})
-    return rows.withColumn("before", F.coalesce(F.lag(last).over(c.window(F.col(order), *[F.col(t) for t in tie])), F.col("__c"))).drop("__c")
+    rows = c.join_carry(c.carry({"end": F.max(last)}, {"__c": (F.max("end"), True)}), ["__c"], {"__c": kind})
+    return rows.withColumn("before", F.coalesce(F.lag(last).over(c.window(*[F.col(b) for b in by])), F.col("__c"))).drop("__c", "__is_cut", CHUNK)

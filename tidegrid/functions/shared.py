@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; set a local one only where none is named, as in tests."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir. Where none is named, a temporary one, but only if all runs on this machine."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
+    known = context._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidegrid-checkpoint-"))
+    if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="tidegrid-checkpoint-")
+    context.setCheckpointDir(named)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, for tables that a run writes for itself."""
+    return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
 def cut(df: DataFrame) -> DataFrame:
