@@ -1,18 +1,19 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 
-from tidegrid.operators.spikes import Reading, implausible_readings
+from tidegrid.operators.spikes import NOISE, Reading, details, implausible_readings, threshold
 
 SCHEMA = "id long, src string, at timestamp, n long, c long, g double, extra string"
 READ = [Reading("c"), Reading("g", "span", 5400.0)]
 
 
-def run(spark, rows, least_rows=500_000):
+def run(spark, rows, piece=500_000, dips=False):
     df = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("extra", "idle")
-    out = implausible_readings(df, "id", ["src"], "at", READ, total="n", least_rows=least_rows)
-    return {(r["id"], r["field_name"]): (r["impossible"], r["spike"], r["stuck"]) for r in out.collect()}
+    out = implausible_readings(df, "id", ["src"], "at", READ, total="n", piece=piece)
+    return {(r["id"], r["field_name"]): (r["impossible"], r["dip"] if dips else r["spike"], r["stuck"]) for r in out.collect()}
 
 
 def at(k):
@@ -37,7 +38,7 @@ def test_spikes_bounds_and_runs(spark):
     rows[103][5] = None  # not a reading: five are left
     for k in range(120, 127):
         rows[k][5] = 2.25
-    rows[123][5] = None  # six are left
+    rows[126][5] = None  # a check without a reading ends the run: six are left
     for k in range(140, 146):
         rows[k][5] = 2.375
     rows[143][3] = 0  # an empty window ends a run
@@ -46,14 +47,14 @@ def test_spikes_bounds_and_runs(spark):
     got = run(spark, rows + [rows[50]])
     assert {k for k, v in got.items() if v[1]} == {(50, "c"), (60, "g"), (61, "g")}
     assert {k for k, v in got.items() if v[0]} == {(70, "c"), (71, "c"), (72, "g")}
-    assert {k[0] for k, v in got.items() if v[2] and k[1] == "g"} == {120, 121, 122, 124, 125, 126}
+    assert {k[0] for k, v in got.items() if v[2] and k[1] == "g"} == {120, 121, 122, 123, 124, 125}
 
 
 def brute_runs(rows, field):
     out, run = set(), []
     for r in sorted(rows, key=lambda r: (r[2], r[0])) + [[None, None, None, 0, None, None]]:
         v = r[field]
-        if r[3] == 0 or (v is not None and run and v != run[-1][1]):
+        if r[3] == 0 or v is None or (run and v != run[-1][1]):
             if len(run) >= 6 and run[0][1] != 0:
                 out |= {i for i, _ in run}
             run = []
@@ -62,20 +63,20 @@ def brute_runs(rows, field):
     return out
 
 
-@pytest.mark.parametrize("least", [7, 40, 500_000])
-def test_runs_across_cuts(spark, least):
+@pytest.mark.parametrize("piece", [20, 60, 500_000])
+def test_runs_across_cuts(spark, piece):
     r = random.Random(5)
     rows, v = [], 1
     for k in range(300):
         v = v if r.random() < 0.85 else r.choice([0, 1, 2, 3])
         rows.append([k, "hot" if k < 280 else "cold", at(k // 2), 0 if r.random() < 0.02 else 100, v if r.random() > 0.05 else None, None, ""])
     want = brute_runs([x for x in rows if x[1] == "hot"], 4) | brute_runs([x for x in rows if x[1] == "cold"], 4)
-    got = run(spark, rows, least)
+    got = run(spark, rows, piece)
     assert {k[0] for k, f in got.items() if f[2]} == want
 
 
-@pytest.mark.parametrize("least", [7, 11, 40])
-def test_spikes_across_cuts(spark, least):
+@pytest.mark.parametrize("piece", [80, 120])
+def test_spikes_across_cuts(spark, piece):
     r = random.Random(9)
     rows = source(300) + [[1000 + k, "cold", at(k), 1000, 10, 2.0, ""] for k in range(5)]
     for k in range(0, 300, 3):
@@ -85,7 +86,29 @@ def test_spikes_across_cuts(spark, least):
         rows[k][r.choice([3, 4])] = r.choice([None, 0])
     rows[0][2] = rows[1][2] = None
     want = {k for k, v in run(spark, rows).items() if v[1]}
-    assert len(want) >= 8 and {k for k, v in run(spark, rows, least).items() if v[1]} == want
+    assert len(want) >= 8 and {k for k, v in run(spark, rows, piece).items() if v[1]} == want
+
+
+def test_dips_and_a_drifting_source(spark):
+    """The details decide, not the level: a source that drifts far has no spike but the planted ones, and dips are found too."""
+    r = random.Random(3)
+    rows = [[k, "a", at(k), 10**6, round(400 + 3 * k + r.gauss(0, 8)), 2.0 + r.random() / 5, "x"] for k in range(400)]
+    rows[90][4] -= 300
+    rows[310][4] += 600
+    rows[20][4] += 400  # still below the level of most of the source
+    rows[200][5] = 0.3
+    assert {k for k, v in run(spark, rows).items() if v[1]} == {(310, "c"), (20, "c")}
+    assert {k for k, v in run(spark, rows, dips=True).items() if v[1]} == {(90, "c"), (200, "g")}
+
+
+def test_details_by_hand():
+    y = np.array([0.0] * 40 + [8.0] + [0.0] * 40)
+    assert details(y)[40] == 8 and abs(details(y)).sum() == 8
+    flat = np.arange(200.0)
+    assert abs(details(flat)[50:150]).max() < 1e-9
+    noise = np.random.default_rng(1).normal(size=200_000)
+    assert abs(details(noise).std() - NOISE) < 0.02
+    assert threshold(2_700, 0.01, 4.0) < threshold(27_000, 0.01, 4.0) < 5.1
 
 
 def test_empty_and_null(spark):

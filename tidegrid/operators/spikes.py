@@ -1,24 +1,33 @@
 """Implausible readings per source: spikes, stuck values and physically impossible values.
 
 Method: the readings of a source, in order of time and on a variance-stabilising scale, pass through an undecimated wavelet
-decomposition. A reading whose detail at some level is large against the robust scale of that level is a candidate; it is a
-spike if it also lies far above the source's own range. Runs of zero detail (equal neighbours) are stuck, bounds give the
-impossible readings.
+decomposition of five levels. What the details of a reading add up to (the reading less its smooth course) is scaled by its
+robust spread over the source; a reading beyond the threshold is a spike. Runs of zero detail (equal neighbours) are stuck,
+bounds give the impossible readings.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidegrid.functions.chunked import CHUNK, assign_chunks, join_carry
+from tidegrid.functions.chunked import CHUNK, PIECE, assign_chunks, lookup
+from tidegrid.functions.shared import cut
 
-#: Spread of the detail of white noise of unit variance at the levels 1 to 3 of the kernel (1/4, 1/2, 1/4).
-LEVEL_SPREAD = (0.6124, 0.2740, 0.1723)
-#: Readings to each side on which the detail of the third level depends: 1 + 2 + 4.
-REACH = 7
+LEVELS = 5
+#: Half the width of the running median that keeps spikes, and up to so many neighbours of one wrong value, out of the smooth course.
+CLEAN = 16
+#: Checks carried over a cut to each side: what the last level and the median see (47), and as many again for those without a reading.
+REACH = 94
+#: Spread of the summed details of white noise of unit variance over five levels: the root of 1 - 2 w(0) + sum of w^2 for the triangle of width 2^5.
+NOISE = 0.979
+#: Classes a doubling in the histograms of the details' size, and their range as powers of two.
+FINE, LOW, HIGH = 64, -10, 20
 
 
 @dataclass(frozen=True)
@@ -30,11 +39,109 @@ class Reading:
     most: float | None = None
 
 
-def _stable(kind: str, x: Column) -> Column:
-    """A scale on which the usual readings spread alike: Anscombe's root for counts, the logarithm for durations."""
+def stable(kind: str, x: np.ndarray) -> tuple[np.ndarray, float]:
+    """A scale on which the usual readings spread alike, and the least spread on it: Anscombe's root for counts (the spread of
+    a Poisson count is 1), the logarithm for durations (a twentieth)."""
     if kind == "count":
-        return 2 * F.sqrt(F.greatest(x, F.lit(0.0)) + 0.375)
-    return F.log(F.greatest(x, F.lit(1e-6)))
+        return 2 * np.sqrt(x + 0.375), 1.0
+    return np.log(np.maximum(x, 1e-6)), 0.05
+
+
+def details(y: np.ndarray, levels: int = LEVELS) -> np.ndarray:
+    """The summed details of each reading: the reading less the smooth of the last level.
+
+    The smooth is that of the series cleaned by a running median, so that a spike stays out of its own and its neighbours'
+    course. Beyond an end the series is continued by its own image, turned about the median of its last values, which keeps a
+    drift; very short series by their end value.
+    """
+    n = len(y)
+    if not n:
+        return y
+    if n > CLEAN:
+        head, tail = 2 * np.median(y[:5]) - y[CLEAN:0:-1], 2 * np.median(y[-5:]) - y[-2 : -CLEAN - 2 : -1]
+    else:
+        head, tail = np.repeat(y[:1], CLEAN), np.repeat(y[-1:], CLEAN)
+    padded = np.concatenate((head, y, tail))
+    smooth = np.empty(n)
+    for k in range(0, n, 65_536):  # the windows of a block at a time
+        part = padded[k : k + 65_536 + 2 * CLEAN]
+        smooth[k : k + 65_536] = np.median(np.lib.stride_tricks.sliding_window_view(part, 2 * CLEAN + 1), axis=1)
+    at = np.arange(n)
+    for j in range(levels):
+        step = 2**j
+        smooth = (smooth[np.maximum(at - step, 0)] + 2 * smooth + smooth[np.minimum(at + step, n - 1)]) / 4
+    return y - smooth
+
+
+def classes(size: np.ndarray) -> np.ndarray:
+    """Class of a size; a class is about 1 % wide."""
+    with np.errstate(divide="ignore"):
+        return np.clip(np.floor(np.log2(size) * FINE), LOW * FINE, HIGH * FINE - 1).astype(np.int64) - LOW * FINE
+
+
+def scale_of(histogram: np.ndarray, least: float) -> tuple[float, int]:
+    """Robust spread from the histogram of sizes (the median of a normal variable's size is its spread over 1.4826), and the number of readings."""
+    n = int(histogram.sum())
+    if not n:
+        return NOISE * least, 0
+    middle = 2.0 ** ((np.searchsorted(np.cumsum(histogram), (n + 1) // 2) + 0.5) / FINE + LOW)
+    return max(1.4826 * middle, NOISE * least), n
+
+
+def threshold(n: int, false_alarms: float, floor: float) -> float:
+    """The size that the largest of n normal details exceeds with the probability `false_alarms` (asymptotically), at least `floor`."""
+    x = np.log(max(n, 2) / false_alarms)
+    return max(floor, float(np.sqrt(2 * x - np.log(4 * np.pi * x))))
+
+
+def _runs(held: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Length of the run of equal values each held reading belongs to; what isn't held ends a run."""
+    if not len(v):
+        return np.zeros(0, np.int64)
+    new = np.ones(len(v), bool)
+    new[1:] = ~(held[1:] & held[:-1] & (v[1:] == v[:-1]))
+    return np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
+
+
+class _Series:
+    """One piece of a source in order, each check once."""
+
+    def __init__(self, part: pa.Table, readings: list[Reading], first: int):
+        t = part.column("__t").to_numpy(zero_copy_only=False).astype(np.float64)
+        ids = part.column("__id").combine_chunks()
+        rank = np.asarray(ids.dictionary_encode().indices) if not pa.types.is_integer(ids.type) else ids.to_numpy(zero_copy_only=False)
+        if not pa.types.is_integer(ids.type):  # order by value, not by first sight
+            words = ids.dictionary_encode().dictionary.to_pylist()
+            place = np.empty(len(words), np.int64)
+            place[sorted(range(len(words)), key=lambda i: (words[i] is not None, words[i]))] = np.arange(len(words))
+            rank = place[rank] if len(words) else rank
+        order = np.lexsort((rank, np.where(np.isnan(t), -np.inf, t)))
+        once = np.ones(len(order), bool)
+        once[1:] = rank[order][1:] != rank[order][:-1]
+        order = order[once]
+        self.ids = ids.take(pa.array(order))
+        self.own = ~np.asarray(part.column("__beyond"))[order]
+        total = part.column("__total").to_numpy(zero_copy_only=False).astype(np.float64)[order]
+        self.idle = total == 0
+        self.fields = []
+        for i, r in enumerate(readings):
+            x = part.column(first + i).combine_chunks()
+            held = np.asarray(x.is_valid())[order] & ~self.idle
+            v = x.to_numpy(zero_copy_only=False).astype(np.float64)[order]
+            with np.errstate(invalid="ignore"):
+                above = v > total if r.kind == "count" else v > (np.inf if r.most is None else r.most)
+                wrong = held & (np.isnan(v) | (v < 0) | np.isinf(v) | above)
+            possible = np.flatnonzero(held & ~wrong)
+            y, least = stable(r.kind, v[possible])
+            d = np.zeros(len(v))
+            d[possible] = details(y)
+            fine = np.zeros(len(v), bool)
+            fine[possible] = True
+            self.fields.append((r, held, v, wrong, fine, d, least))
+
+    def histograms(self) -> list[np.ndarray]:
+        """Of each field the sizes of the piece's own details."""
+        return [np.bincount(classes(np.abs(d[fine & self.own])), minlength=(HIGH - LOW) * FINE) for _, _, _, _, fine, d, _ in self.fields]
 
 
 def implausible_readings(
@@ -44,137 +151,70 @@ def implausible_readings(
     time: str,
     readings: list[Reading],
     total: str | None = None,
-    candidate: float = 2.5,
-    fence: float = 4.6,
+    false_alarms: float = 0.01,
+    floor: float = 4.0,
     run: int = 6,
-    least_rows: int = 500_000,
+    piece: int = PIECE,
 ) -> DataFrame:
-    """One row (row_id, field_name, impossible, spike, stuck) per implausible reading.
-
-    impossible: negative, NaN, infinite, a count above `total`, a duration above its bound. spike: a possible reading whose
-    wavelet detail exceeds `candidate` robust spreads at one of three levels and which lies more than `fence` robust spreads
-    above its source's median. stuck: part of a run of at least `run` equal non-zero readings in order of `time`.
-    Defined cases: repeated rows count once; NULL readings are no readings and neither start, end nor lengthen a run; rows
-    with `total` = 0 are no cases and end a run; rows whose `time` is NULL come first, ties are ordered by row_id; a NULL
-    source is a source of its own; an empty table gives no rows. Other columns are not read.
+    """One row (row_id, field_name, impossible, spike, dip, stuck) per implausible reading.
+
+    impossible: negative, NaN, infinite, a count above `total`, a duration above its bound. spike (dip): a possible reading
+    whose summed wavelet details lie above (below) the threshold, in robust spreads of its source; the threshold is what the
+    largest of as many normal readings exceeds in a share `false_alarms` of all sources, and never below `floor`. stuck: part
+    of a run of at least `run` (up to 95) equal non-zero readings in consecutive checks. Defined cases: repeated rows count
+    once; a check without a reading (NULL) is no case and ends a run; rows with `total` = 0 are no cases and end a run; rows
+    whose `time` is NULL come first, ties are ordered by row_id; a NULL source is a source of its own; an empty table gives no
+    rows. Other columns are not read. Sources of very many rows are cut along time; 94 checks to each side of a cut are known
+    on the other side, and the spread is that of the whole source.
     """
-    total_col = F.col(total).cast("double") if total else F.lit(None).cast("double")
-    fields = F.array(*[
-        F.struct(F.lit(r.column).alias("field_name"), F.col(r.column).cast("double").alias("x"), F.lit(r.kind).alias("kind"),
-                 F.lit(r.most).cast("double").alias("most")) for r in readings
-    ])
     names = [f"__s{i}" for i in range(len(source))]
-    long = (
-        df.select(F.col(row_id).alias("__id"), *[F.col(s).alias(n) for s, n in zip(source, names)],
-                  F.unix_micros(F.col(time).cast("timestamp")).alias("__t"), total_col.alias("__total"), F.explode(fields).alias("__f"))
-        .select("__id", *names, "__t", "__total", "__f.*")
-        .filter(F.col("x").isNotNull() | (F.col("__total") == 0))
-        .dropDuplicates(["__id", "field_name"])
-    )
-    idle = F.coalesce(F.col("__total") == 0, F.lit(False))
-    impossible = ~idle & (
-        F.isnan("x") | (F.col("x") < 0) | (F.col("x") == float("inf"))
-        | F.when(F.col("kind") == "count", F.coalesce(F.col("x") > F.col("__total"), F.lit(False))).otherwise(F.coalesce(F.col("x") > F.col("most"), F.lit(False)))
-    )
-    y = F.when(F.col("kind") == "count", _stable("count", F.col("x"))).otherwise(_stable("span", F.col("x")))
-    long = long.withColumns({"idle": idle, "impossible": impossible})
-    long = long.withColumn("y", F.when(~F.col("idle") & ~F.col("impossible"), y))
-    keys = [*names, "field_name"]
-    chunked = assign_chunks(long, keys, "__t", least_rows)
-    df = chunked.df
-
-    order = [F.col("__t"), F.col("__id")]
-    w = chunked.window(*order)
-    # Runs of zero detail. Within a chunk a run starts where the value differs from the one before or an idle row lies between.
-    value = F.when(~F.col("idle"), F.col("x"))
-    df = df.withColumn("v", value)
-    starts = F.coalesce(F.col("idle") | F.lag("idle").over(w) | ~F.col("v").eqNullSafe(F.lag("v").over(w)), F.lit(True))
-    df = df.withColumn("run", F.sum(starts.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    of_run = Window.partitionBy(*keys, CHUNK, "run")
-    df = df.withColumn("length", F.count("*").over(of_run))
-    df = _join_runs(df, keys) if chunked.cut else df
-
-    # Undecimated wavelet on the possible readings; at the ends of a series the reading itself stands in for a missing neighbour.
-    level, details = F.col("y"), []
-    fine = Window.partitionBy(*keys, CHUNK, F.col("y").isNull()).orderBy(*order)
-    df = df.withColumn("beyond", F.lit(False))
-    df = df.unionByName(_beyond_cuts(df, keys), allowMissingColumns=True) if chunked.cut else df
-    for j in range(3):
-        here = f"a{j}"
-        df = df.withColumn(here, level)
-        left, right = F.lag(here, 2**j).over(fine), F.lead(here, 2**j).over(fine)
-        df = df.withColumn(f"a{j + 1}", (F.coalesce(left, F.col(here)) + 2 * F.col(here) + F.coalesce(right, F.col(here))) / 4)
-        df = df.withColumn(f"d{j + 1}", F.col(here) - F.col(f"a{j + 1}"))
-        level = F.col(f"a{j + 1}")
-        details.append(f"d{j + 1}")
-    df = df.filter("not beyond")
-
-    # Robust centre and spreads by source: mergeable sketches, so a large source needs no task of its own.
-    centre = df.filter(F.col("y").isNotNull()).groupBy(*keys).agg(
-        F.percentile_approx("y", [0.25, 0.5, 0.75], 1000).alias("q"),
-        *[F.percentile_approx(F.abs(d), 0.5, 1000).alias(f"m{d}") for d in details],
-        F.first("kind").alias("k"),
-    )
-    least = F.when(F.col("k") == "count", F.lit(1.0)).otherwise(F.lit(0.05))
-    centre = centre.withColumns({"mid": F.col("q")[1], "spread": F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, least)})
-    centre = centre.select(*keys, "mid", "spread", *[F.greatest(1.4826 * F.col(f"m{d}"), s * F.col("spread")).alias(f"s{d}") for d, s in zip(details, LEVEL_SPREAD)])
-    on = None
-    for k in keys:
-        same = F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-        on = same if on is None else on & same
-    df = df.alias("l").join(centre.alias("r"), on, "left").select("l.*", *[F.col(f"r.{c}") for c in centre.columns if c not in keys])
-    stands_out = F.greatest(*[F.col(d) / F.col(f"s{d}") for d in details]) > candidate
-    spike = F.coalesce(stands_out & (F.col("y") > F.col("mid") + fence * F.col("spread")), F.lit(False))
-    stuck = ~F.col("idle") & (F.col("length") >= run) & (F.col("v") != 0)
-    return (
-        df.select(F.col("__id").alias(row_id), "field_name", F.col("impossible"), spike.alias("spike"), F.coalesce(stuck, F.lit(False)).alias("stuck"))
-        .filter("impossible or spike or stuck")
-    )
-
-
-def _beyond_cuts(df: DataFrame, keys: list[str]) -> DataFrame:
-    """For each chunk the possible readings next to it in other chunks, as many on each side as the wavelet reaches.
-
-    Of each chunk as many are taken from either end, so what is gathered by key is bounded by the number of its chunks.
-    """
-    in_chunk = Window.partitionBy(*keys, CHUNK)
-    first = F.row_number().over(in_chunk.orderBy("__t", "__id")) <= REACH
-    last = F.row_number().over(in_chunk.orderBy(F.col("__t").desc_nulls_last(), F.col("__id").desc())) <= REACH
-    ends = df.filter("y is not null").select(*keys, CHUNK, "__t", "__id", "y", (first | last).alias("end")).filter("end")
-    # A chunk without a possible reading has no details to compute.
-    series = ends.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(CHUNK, "__t", "__id", "y"))).alias("all"), F.array_distinct(F.collect_list(CHUNK)).alias("chunks"))
-    series = series.filter(F.size("chunks") > 1).select(*keys, "all", F.explode("chunks").alias("to"))
-    before, after = F.filter("all", lambda x: x[CHUNK] < F.col("to")), F.filter("all", lambda x: x[CHUNK] > F.col("to"))
-    near = F.concat(F.slice(before, F.greatest(F.size(before) - REACH + 1, F.lit(1)), REACH), F.slice(after, 1, REACH))
-    return series.select(*keys, F.col("to").alias(CHUNK), F.explode(near).alias("x")).select(*keys, CHUNK, "x.__t", "x.__id", "x.y", F.lit(True).alias("beyond"))
-
-
-def _join_runs(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Add to the runs that touch a cut what belongs to them beyond it, over one summary row per chunk."""
-    edge = df.groupBy(*keys, CHUNK).agg(
-        F.max("run").alias("runs"),
-        F.min_by(F.struct("v", "length", "idle"), F.struct("run", "__t", "__id")).alias("head"),
-        F.max_by(F.struct("v", "length", "idle"), F.struct("run", "__t", "__id")).alias("tail"),
-    )
-    w = Window.partitionBy(*keys).orderBy(CHUNK)
-    # A chain links chunks whose touching runs are equal; a chunk of one run passes the chain on.
-    linked = ~F.col("head.idle") & ~F.lag("tail.idle").over(w) & (F.col("head.v") == F.lag("tail.v").over(w))
-    edge = edge.withColumn("linked", F.coalesce(linked, F.lit(False)))
-    edge = edge.withColumn("breaks", (~F.col("linked") | (F.lag("runs").over(w) > 1)).cast("int"))
-    edge = edge.withColumn("chain", F.sum("breaks").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    edge = edge.withColumns({"next_chain": F.lead("chain").over(w), "goes_on": F.coalesce(F.lead("linked").over(w), F.lit(False))})
-    # Each chunk gives its head to its chain, and its tail, if another run, to the chain that the next chunk's head may continue.
-    parts = edge.select(*keys, CHUNK, F.explode(F.array(
-        F.struct(F.col("chain").alias("c"), F.lit(1).alias("run"), F.col("head.length").alias("n")),
-        F.struct(F.when(F.col("runs") > 1, F.coalesce(F.col("next_chain"), F.col("chain") + 1)).alias("c"), F.col("runs").alias("run"), F.col("tail.length").alias("n")),
-    )).alias("p"), "goes_on").select(*keys, CHUNK, "p.*", "goes_on").filter("c is not null")
-    # A tail that isn't continued stands alone.
-    parts = parts.withColumn("c", F.when((F.col("run") > 1) & ~F.col("goes_on"), F.concat(F.lit("own "), F.col(CHUNK).cast("string"))).otherwise(F.col("c").cast("string")))
-    parts = parts.withColumn("whole", F.sum("n").over(Window.partitionBy(*keys, "c")))
-    on = (F.col("l.run") == F.col("r.run")) & (F.col(f"l.{CHUNK}") == F.col(f"r.{CHUNK}"))
-    for k in keys:
-        on = on & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-    return (
-        df.alias("l").join(parts.alias("r"), on, "left").select("l.*", "r.whole")
-        .withColumn("length", F.greatest("length", F.coalesce("whole", F.lit(0)))).drop("whole")
+    columns = [f"__x{i}" for i in range(len(readings))]
+    base = df.select(
+        *[F.col(s).alias(n) for s, n in zip(source, names)], F.unix_micros(F.col(time).cast("timestamp")).alias("__t"), F.col(row_id).alias("__id"),
+        (F.col(total).cast("double") if total else F.lit(None).cast("double")).alias("__total"), *[F.col(r.column).cast("double").alias(c) for r, c in zip(readings, columns)],
     )
+    chunked = assign_chunks(base, names, ["__t", "__id"], piece)
+    rows = chunked.with_neighbours(REACH)
+    if chunked.cut:  # the spread is known only when all pieces of a source have been seen
+        rows = cut(rows)
+        seen = cut(_histograms(rows, names, readings, columns))
+        rows = lookup(rows, seen, names, seen.count())
+    else:
+        rows = rows.withColumn("__h", F.lit(None).cast("array<array<bigint>>"))
+    kind = base.schema["__id"].dataType
+    out = T.StructType([T.StructField(row_id, kind), *T.StructType.fromDDL("field_name string, impossible boolean, spike boolean, dip boolean, stuck boolean").fields])
+
+    def judge(part: pa.Table) -> pa.Table:
+        series = _Series(part, readings, part.schema.get_field_index(columns[0]))
+        given = part.column("__h")[0].as_py()
+        ids, found = [], {k: [] for k in ("field_name", "impossible", "spike", "dip", "stuck")}
+        for i, ((r, held, v, wrong, fine, d, least), own) in enumerate(zip(series.fields, series.histograms())):
+            spread, n = scale_of(np.asarray(given[i]) if given else own, least)
+            limit = threshold(n, false_alarms, floor) * spread
+            up, down = fine & (d > limit), fine & (d < -limit)
+            stuck = held & (v != 0) & (_runs(held, v) >= run)
+            at = np.flatnonzero(series.own & (wrong | up | down | stuck))
+            ids.append(series.ids.take(pa.array(at)))
+            found["field_name"].append(pa.array([r.column] * len(at), pa.string()))
+            for k, flag in (("impossible", wrong), ("spike", up), ("dip", down), ("stuck", stuck)):
+                found[k].append(pa.array(flag[at]))
+        return pa.table({row_id: pa.chunked_array(ids), **{k: pa.chunked_array(a) for k, a in found.items()}})
+
+    return rows.groupBy(*names, CHUNK).applyInArrow(judge, out)
+
+
+def _histograms(rows: DataFrame, names: list[str], readings: list[Reading], columns: list[str]) -> DataFrame:
+    """Per source the histograms of all fields, added up over its pieces."""
+    long = T.StructType([*[rows.schema[n] for n in names], *T.StructType.fromDDL("f int, c int, n bigint").fields])
+
+    def count(part: pa.Table) -> pa.Table:
+        cells = [(i, c, h[c]) for i, h in enumerate(_Series(part, readings, part.schema.get_field_index(columns[0])).histograms()) for c in np.flatnonzero(h)]
+        keys = {n: part.column(n).combine_chunks().take(pa.array(np.zeros(len(cells), np.int64))) for n in names}
+        f, c, n = zip(*cells) if cells else ((), (), ())
+        return pa.table({**keys, "f": pa.array(f, pa.int32()), "c": pa.array(c, pa.int32()), "n": pa.array(n, pa.int64())})
+
+    cells = rows.groupBy(*names, CHUNK).applyInArrow(count, long).groupBy(*names, "f", "c").agg(F.sum("n").alias("n"))
+    whole = cells.groupBy(*names).agg(F.map_from_entries(F.collect_list(F.struct(F.struct("f", "c"), "n"))).alias("m"))
+    size = (HIGH - LOW) * FINE
+    histogram = F.array(*[F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda c, i=i: F.coalesce(F.col("m")[F.struct(F.lit(i).alias("f"), c.alias("c"))], F.lit(0).cast("long"))) for i in range(len(readings))])
+    return whole.select(*names, histogram.alias("__h"))
