@@ -37,17 +37,58 @@ def test_empty_tables_and_periods(spark):
     assert probe(q.limit(0), p, "id", ["k"], "t", ["k"], "a", "d").count() == 0
 
 
-def test_batches_give_the_same_as_the_whole(spark, tmp_path):
-    parents = [("a", 5, 15), ("a", 12, None), ("b", 3, 6), ("c", 20, None)]
-    refs = [(1, "a", 4), (2, "a", 5), (3, "b", 4), (4, "b", 7), (5, "c", 1), (6, "d", 9), (7, "a", 16)]
-    p = spark.createDataFrame([(k, day(a), day(b)) for k, a, b in parents], "k string, a timestamp, d timestamp")
-    q = spark.createDataFrame([(i, k, day(t)) for i, k, t in refs], "id long, k0 string, at timestamp").withColumn("t", F.unix_micros("at"))
-    changes = parent_changes(p, ["k"], "a", "d")
-    state, events = IncrementalOrphans(spark, str(tmp_path)), []
+PARENTS = [("a", 5, 15), ("a", 12, None), ("b", 3, 6), ("c", 20, None), ("e", 1, 11), ("e", 13, None)]
+REFS = [(1, "a", 4), (2, "a", 5), (3, "b", 4), (4, "b", 7), (5, "c", 1), (6, "d", 9), (7, "a", 16), (8, "e", 2), (9, "d", None)]
+
+
+def history(spark):
+    p = spark.createDataFrame([(k, day(a), day(b)) for k, a, b in PARENTS], "k string, a timestamp, d timestamp")
+    q = spark.createDataFrame([(i, k, day(t)) for i, k, t in REFS], "id long, k0 string, at timestamp").withColumn("t", F.unix_micros("at"))
+    return p, q, parent_changes(p, ["k"], "a", "d")
+
+
+@pytest.mark.parametrize("piece", [4, 500_000])
+def test_batches_give_the_same_as_the_whole(spark, tmp_path, piece):
+    p, q, changes = history(spark)
+    events, state = [], None
     for lo, hi in ((-1, 5), (5, 10), (10, 99)):
+        state = IncrementalOrphans(spark, str(tmp_path), ["k0"], buckets=3, piece=piece)  # each batch starts from what is written
         span = (F.col("t") > F.unix_micros(F.lit(day(lo)))) & (F.col("t") <= F.unix_micros(F.lit(day(hi))))
-        events += [(r["id"], r["event"]) for r in state.step(q.filter(span), changes.filter(span)).collect()]
+        events += [(r["id"], r["event"]) for r in state.step(q.filter(span | (F.col("t").isNull() if lo < 0 else F.lit(False))), changes.filter(span)).collect()]
     whole = probe(q, p, "id", ["k0"], "at", ["k"], "a", "d")
-    assert {i for i, e in events if e == "orphaned"} == {r["id"] for r in whole.filter("not answered").collect()} == {1, 4, 5, 6}
-    assert (3, "reopened") in events and (1, "resolved") in events and (5, "resolved") in events
-    assert {r["answered"]: r["references"] for r in state.snapshot().collect()} == {True: 4, False: 3}
+    assert {i for i, e in events if e == "orphaned"} == {r["id"] for r in whole.filter("not answered").collect()} == {1, 4, 5, 6, 9}
+    assert sorted(e for e in events if e[1] != "orphaned") == [(1, "resolved"), (3, "reopened"), (5, "resolved"), (8, "reopened"), (8, "resolved")]
+    assert {r["answered"]: r["references"] for r in state.snapshot().collect()} == {True: 5, False: 4}
+
+
+def test_replay_by_period(spark, tmp_path):
+    _, q, changes = history(spark)
+    events = IncrementalOrphans(spark, str(tmp_path), ["k0"]).replay(q, changes, "week")
+    assert {r["id"] for r in events.filter("event = 'orphaned'").collect()} == {1, 4, 5, 6, 9}
+    assert {(r["id"], r["t"]) for r in events.filter("event = 'resolved'").select("id", F.dayofyear(F.timestamp_micros("t")).alias("t")).collect()} == {(1, 6), (5, 21), (8, 14)}
+
+
+def test_an_interrupted_batch_is_done_again(spark, tmp_path):
+    _, q, changes = history(spark)
+    first = IncrementalOrphans(spark, str(tmp_path), ["k0"])
+    before = dict(first.state)
+    a = sorted(map(tuple, first.step(q, changes).collect()))
+    first.state = before
+    (tmp_path / "current.json").unlink()
+    assert sorted(map(tuple, IncrementalOrphans(spark, str(tmp_path), ["k0"]).step(q, changes).collect())) == a
+
+
+def test_a_step_does_not_read_the_answered_history(spark, tmp_path):
+    """Answered references pile up; a batch without deletions reads none of them."""
+    state = IncrementalOrphans(spark, str(tmp_path), ["k0"], buckets=2)
+    parents = spark.createDataFrame([("a", 1, 1), ("b", 1, 1)], "k0 string, t long, change long")
+    none, read = parents.limit(0), []
+    for k in range(3):
+        refs = spark.createDataFrame([(100 * k + i, "ab"[i % 2], 10 * k + 5) for i in range(50)], "id long, k0 string, t long")
+        seen, inner = [], state._read
+        state._read = lambda part, buckets, keys: (seen.append((part, inner(part, buckets, keys).count())), inner(part, buckets, keys))[1]
+        state.step(refs, parents if k == 0 else none)
+        state._read = inner
+        read.append(dict(seen))
+    assert read[1] == read[2] == {"index": 2, "waiting": 0, "answered": 0}
+    assert state.snapshot().collect() == [(True, 150)]
