@@ -54,7 +54,7 @@ def test_baseline_median(spark):
 def test_mid_changes_at_exact_times(spark):
     df = book(spark, [(-5, 2, 1, 1, 100, 101, 1, 1), (3_000_001, 2, 1, 1, 96, 97, 1, 1), (3_000_001, 2, 1, 1, 96, 97, 9, 1), (3_000_002, 2, 1, 1, 96, 98, 1, 1)])
     for least in (500_000, 1):
-        got = [(r["offset_ns"], r["mid_move"]) for r in mid_changes(df, stages(spark), (-60, 120), least_rows=least).orderBy("offset_ns").collect()]
+        got = [(r["offset_ns"], r["mid_move"]) for r in mid_changes(df, stages(spark), (-60, 120), piece=least).orderBy("offset_ns").collect()]
         assert got == [(-5, 0.0), (3_000_001, -4.0), (3_000_002, -3.5)]
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tidegrid.config import Study
 from tidegrid.functions.clock import control_group, group_label
-from tidegrid.operators.counter_grid import Grid
-from tidegrid.operators.panel import _points, cell_of, staged
+from tidegrid.operators.counter_grid import Grid, cell_of
+from tidegrid.operators.panel import _points, staged
 from tidegrid.operators.stats import curve_intervals
 from tidegrid.schema import KEYS, levels_of
 
@@ -37,17 +37,24 @@ def costs(ticks: DataFrame, stages: DataFrame, grid: Grid, sizes: tuple[int, ...
     levels = levels_of(ticks.columns)
     t = staged(ticks, stages, list(on))
     book = F.struct(*[f"{side}_{what}_{i}" for side in ("bid", "ask") for what in ("px", "sz") for i in range(levels)])
-    cells = t.groupBy(*KEYS, cell_of(grid, F.col("off")).alias("cell")).agg(F.max_by(book, F.struct("ts_event", "seq")).alias("r"))
-    p = _points(cells, KEYS, grid).withColumn("r", F.when(F.col("held"), F.col("r")))
-    p = p.select(*KEYS, F.expr(f"({grid.start}L + j * {grid.step}L) div 1000000000L").alias("offset_s"), "r.*", F.explode(F.array(*[F.lit(q) for q in sizes])).alias("qty"))
+    cells = t.groupBy(*KEYS, cell_of(F.col("off"), grid).alias("cell")).agg(F.max_by(book, F.struct("ts_event", "seq")).alias("r"))
+    # The book of a cell is walked once per size; the points up to the next cell repeat its cost, not its walk.
+    book = cells.select(*KEYS, "cell", "r.*")
     mid = (F.col("bid_px_0") + F.col("ask_px_0")) / 2.0
-    buy, short_buy = walk([F.col(f"ask_px_{i}") for i in range(levels)], [F.col(f"ask_sz_{i}") for i in range(levels)], F.col("qty"))
-    sell, short_sell = walk([F.col(f"bid_px_{i}") for i in range(levels)], [F.col(f"bid_sz_{i}") for i in range(levels)], F.col("qty"))
-    buy, sell = buy - mid, mid - sell
+    parts = {}
+    for q in sizes:
+        buy, short_buy = walk([F.col(f"ask_px_{i}") for i in range(levels)], [F.col(f"ask_sz_{i}") for i in range(levels)], F.lit(q))
+        sell, short_sell = walk([F.col(f"bid_px_{i}") for i in range(levels)], [F.col(f"bid_sz_{i}") for i in range(levels)], F.lit(q))
+        parts[q] = F.struct(F.lit(q).alias("qty"), (buy - mid).alias("buy"), (mid - sell).alias("sell"), (short_buy | short_sell).alias("short"))
+    walked = book.select(*KEYS, "cell", F.array(*parts.values()).alias("w"))
+    p = _points(walked, KEYS, grid)
+    nothing = F.array(*[F.struct(F.lit(q).alias("qty"), F.lit(None).cast("double").alias("buy"), F.lit(None).cast("double").alias("sell"), F.lit(True).alias("short")) for q in sizes])
+    p = p.select(*KEYS, F.expr(f"({grid.start}L + j * {grid.step}L) div 1000000000L").alias("offset_s"), F.explode(F.when(F.col("held"), F.col("w")).otherwise(nothing)).alias("w"))
     group = group_label(F.col("event_type"), F.col("stage"), F.col("time_et"))
     return p.select(
-        "window_id", group.alias("group"), "instrument", "offset_s", "qty", buy.alias("buy_ticks"), sell.alias("sell_ticks"), ((buy + sell) / 2).alias("cost_ticks"), (short_buy | short_sell).alias("insufficient_depth")
-    )
+        "window_id", group.alias("group"), "instrument", "offset_s", F.col("w.qty").alias("qty"), F.col("w.buy").alias("buy_ticks"), F.col("w.sell").alias("sell_ticks"),
+        ((F.col("w.buy") + F.col("w.sell")) / 2).alias("cost_ticks"), F.col("w.short").alias("insufficient_depth"),
+    )
 
 
 def with_fees(rows: DataFrame, fee_usd: float, tick_usd: Column) -> DataFrame:

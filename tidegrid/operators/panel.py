@@ -1,7 +1,7 @@
 """Event-time panels: a tick frame seen on a grid around every stage, without an as-of join.
 
-Ticks collapse to the last state, counts and sums per grid cell before the shuffle. Each occupied cell then states the points
-up to the next one, so nothing but the collapsed cells is sorted, and a hot instrument costs no more than its cells.
+Ticks collapse by hash to the last state, counts and sums per grid cell before the shuffle. Each occupied cell then states the
+points up to the next one, so nothing but the collapsed cells is sorted, and a hot instrument costs no more than its cells.
 """
 
 from __future__ import annotations
@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.functions.chunked import PIECE
 from tidegrid.functions.previous import with_previous
-from tidegrid.operators.counter_grid import Grid, ceil_div
+from tidegrid.operators.counter_grid import Grid, cell_of, moment
 from tidegrid.schema import BID, DEPTH_LEVELS, FILL, KEYS, TRADE, levels_of
 
 BASELINE_MEASURES = ["spread", "depth_1", "depth_3", "depth_5", "depth_10", "updates", "trades", "volume"]
@@ -56,11 +57,6 @@ def _points(cells: DataFrame, keys: list[str], grid: Grid) -> DataFrame:
     return points.withColumns({"here": F.col("j") == F.col("cell"), "held": F.col("j") >= F.col("cell")})
 
 
-def cell_of(grid: Grid, off: Column) -> Column:
-    """Index of the first point at or after the offset, between 0 and the number of points."""
-    return F.least(F.greatest(ceil_div(off - grid.start, grid.step), F.lit(0)), F.lit(grid.points)).cast("int")
-
-
 def panel(ticks: DataFrame, stages: DataFrame, grid: Grid, depth_levels: tuple[int, ...] = DEPTH_LEVELS, on: tuple[str, ...] = ("window_id",)) -> DataFrame:
     """All measures on one grid for all series: KEYS, offset_ms, prices, sizes, spread, mid, mid_move, depths, counts.
 
@@ -73,23 +69,26 @@ def panel(ticks: DataFrame, stages: DataFrame, grid: Grid, depth_levels: tuple[i
     levels = levels_of(ticks.columns)
     t = staged(ticks, stages, list(on)).filter("instrument is not null")
     valid = F.col("bid_px_0").isNotNull() & F.col("ask_px_0").isNotNull()
-    state = F.struct(
-        F.when(valid, F.col("bid_px_0")).alias("bid_px"), F.when(valid, F.col("ask_px_0")).alias("ask_px"), F.col("bid_sz_0").alias("bid_sz"), F.col("ask_sz_0").alias("ask_sz"),
-        touch_mid().alias("mid"), *[depth(k, levels).alias(f"depth_{k}") for k in depth_levels],
-    )
-    traded = is_trade()
-    cells = t.groupBy(*KEYS, cell_of(grid, F.col("off")).alias("cell")).agg(
-        F.max_by(state, F.struct("ts_event", "seq")).alias("r"), F.count("*").alias("updates"), F.count_if(traded).alias("trades"),
+    state = {
+        "bid_px": F.when(valid, F.col("bid_px_0")), "ask_px": F.when(valid, F.col("ask_px_0")), "bid_sz": F.col("bid_sz_0"), "ask_sz": F.col("ask_sz_0"),
+        **{f"depth_{k}": depth(k, levels) for k in depth_levels},
+    }
+    traded, by = is_trade(), moment("ts_event", "seq")
+    before = F.when(F.col("off") < 0, by)
+    # Plain columns by one number: the aggregation is by hash, no tick is sorted.
+    cells = t.groupBy(*KEYS, cell_of(F.col("off"), grid).alias("cell")).agg(
+        *[F.max_by(e, by).alias(c) for c, e in state.items()], F.count("*").alias("updates"), F.count_if(traded).alias("trades"),
         F.sum(F.when(traded, F.col("size")).otherwise(0)).alias("volume"), F.sum(F.when(traded, F.col("size") * signed()).otherwise(0)).alias("signed_volume"),
-        F.max(F.when(F.col("off") < 0, F.struct("ts_event", "seq", touch_mid().alias("mid")))).alias("pre"),
+        F.max(before).alias("pre_at"), F.max_by(touch_mid(), before).alias("pre"),
     )
-    cells = cells.withColumn("pre_mid", F.max("pre").over(Window.partitionBy(*KEYS))["mid"])
+    cells = cells.withColumn("pre_mid", F.max(F.when(F.col("pre_at").isNotNull(), F.struct("pre_at", "pre"))).over(Window.partitionBy(*KEYS))["pre"])
     p = _points(cells, KEYS, grid)
-    held = {c: F.when(F.col("held"), F.col(f"r.{c}")) for c in ["bid_px", "ask_px", "bid_sz", "ask_sz", "mid", *[f"depth_{k}" for k in depth_levels]]}
+    held = {c: F.when(F.col("held"), F.col(c)) for c in state}
+    mid = (held["bid_px"] + held["ask_px"]) / 2.0
     counts = {c: F.when(F.col("j") > 0, F.when(F.col("here"), F.col(c)).otherwise(0)) for c in ["updates", "trades", "volume", "signed_volume"]}
     out = p.select(
         *KEYS, F.expr(f"({grid.start}L + j * {grid.step}L) div 1000000L").alias("offset_ms"), *[e.alias(c) for c, e in held.items() if c in ("bid_px", "ask_px", "bid_sz", "ask_sz")],
-        (held["ask_px"] - held["bid_px"]).alias("spread"), held["mid"].alias("mid"), (held["mid"] - F.col("pre_mid")).alias("mid_move"),
+        (held["ask_px"] - held["bid_px"]).alias("spread"), mid.alias("mid"), (mid - F.col("pre_mid")).alias("mid_move"),
         *[e.alias(c) for c, e in held.items() if c.startswith("depth")], *[e.alias(c) for c, e in counts.items()],
     )
     return out
@@ -101,15 +100,15 @@ def baselines(coarse: DataFrame, window_s: tuple[int, int]) -> DataFrame:
     return inside.groupBy("window_id", "event_type", "stage", "instrument").agg(*[F.median(m).alias(f"base_{m}") for m in BASELINE_MEASURES if m in coarse.columns])
 
 
-def mid_changes(ticks: DataFrame, stages: DataFrame, window_s: tuple[int, int], on: tuple[str, ...] = ("window_id",), least_rows: int = 500_000) -> DataFrame:
+def mid_changes(ticks: DataFrame, stages: DataFrame, window_s: tuple[int, int], on: tuple[str, ...] = ("window_id",), piece: int = PIECE) -> DataFrame:
     """Each change of the mid inside the window at its exact time: KEYS, offset_ns, mid_move (against the last mid before t0).
 
     The first mid of the window and a mid after a one-sided book count as changes. Series of very many ticks are cut along time.
     """
     lo, hi = window_s[0] * 10**9, window_s[1] * 10**9
     t = staged(ticks, stages, list(on)).withColumn("mid", touch_mid())
-    pre = t.filter("off < 0").groupBy(*KEYS).agg(F.max(F.struct("ts_event", "seq", "mid"))["mid"].alias("pre_mid"))
-    inside = with_previous(t.filter(F.col("off").between(lo, hi)).select(*KEYS, "off", "ts_event", "seq", "mid"), KEYS, "ts_event", ["mid"], ("seq",), least_rows)
+    pre = t.filter("off < 0").groupBy(*KEYS).agg(F.max_by("mid", moment("ts_event", "seq")).alias("pre_mid"))
+    inside = with_previous(t.filter(F.col("off").between(lo, hi)).select(*KEYS, "off", "ts_event", "seq", "mid"), KEYS, "ts_event", ["mid"], ("seq",), piece)
     changed = inside.filter(F.col("mid").isNotNull() & ~F.col("mid").eqNullSafe(F.col("before.mid")))
     return changed.join(pre, KEYS, "left").select(*KEYS, F.col("off").alias("offset_ns"), (F.col("mid") - F.col("pre_mid")).alias("mid_move"))
 
@@ -117,12 +116,12 @@ def mid_changes(ticks: DataFrame, stages: DataFrame, window_s: tuple[int, int],
 def bar_panel(bars: DataFrame, stages: DataFrame, grid: Grid, on: tuple[str, ...] = ("window_id",), bar_ns: int = 10**9) -> DataFrame:
     """Closes and volumes of bars (window_id, instrument, ts_event = opening, close, volume) on a grid; a bar counts once it is over."""
     t = staged(bars.withColumn("ts_event", F.col("ts_event") + bar_ns), stages, list(on))
-    cells = t.groupBy(*KEYS, cell_of(grid, F.col("off")).alias("cell")).agg(
-        F.max_by(F.struct("close"), "ts_event").alias("r"), F.sum("volume").alias("volume"), F.max(F.when(F.col("off") <= 0, F.struct("ts_event", "close"))).alias("pre")
+    cells = t.groupBy(*KEYS, cell_of(F.col("off"), grid).alias("cell")).agg(
+        F.max_by("close", "ts_event").alias("last"), F.sum("volume").alias("volume"), F.max(F.when(F.col("off") <= 0, F.col("ts_event"))).alias("pre_at"), F.max_by("close", F.when(F.col("off") <= 0, F.col("ts_event"))).alias("pre"),
     )
-    cells = cells.withColumn("pre_close", F.max("pre").over(Window.partitionBy(*KEYS))["close"])
+    cells = cells.withColumn("pre_close", F.max(F.when(F.col("pre_at").isNotNull(), F.struct("pre_at", "pre"))).over(Window.partitionBy(*KEYS))["pre"])
     p = _points(cells, KEYS, grid)
-    close = F.when(F.col("held"), F.col("r.close"))
+    close = F.when(F.col("held"), F.col("last"))
     volume = F.when(F.col("j") > 0, F.when(F.col("here"), F.col("volume")).otherwise(0))
     return p.select(*KEYS, F.expr(f"({grid.start}L + j * {grid.step}L) div 1000000L").alias("offset_ms"), close.alias("close"), (close - F.col("pre_close")).alias("close_move"), volume.alias("volume"))
 
