@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.functions.chunked import CHUNK, PIECE, assign_chunks
 from tidegrid.functions.previous import with_previous
 from tidegrid.operators.panel import is_trade
 
@@ -13,40 +14,58 @@ NS = 10**9
 ROLL_DAYS = {"ZT": 35, "ZF": 35, "ZN": 35, "ZB": 35, "ES": 12, "GC": 35, "CL": 10, "6E": 12, "6J": 12, "SR3": 12}
 
 
-def check_windows(ticks: DataFrame, windows: DataFrame, keys: list[str], core_s: tuple[int, int] = (-60, 120), least_rows: int = 500_000) -> DataFrame:
-    """Counts per window and instrument of `ticks` (keys, seq in order of arrival, ts_event, action, size, touch).
+def check_windows(ticks: DataFrame, windows: DataFrame, keys: list[str], core_s: tuple[int, int] = (-60, 120), piece: int = PIECE) -> DataFrame:
+    """Counts per window and instrument of `ticks` (keys, seq in order of arrival, ts_event, action, size, prices and sizes by level).
 
-    windows: keys, start_ns, end_ns, t0_ns. Counted are rows; times running backwards in order of arrival; repeated rows (the
-    rows that have a twin, halved); crossed, locked and one-sided books; negative sizes and trades without size. max_gap_s is
-    the longest silence within the window, its edges included, max_gap_core_s within core_s around t0. A window without rows
-    has rows = 0 and NULL measures. Hot windows are cut along arrival and along time, the row before a cut being carried over.
+    windows: keys or the first of them (then all instruments that the ticks have there), start_ns, end_ns, t0_ns. Counted are
+    rows; times, and the vendor's own `sequence` where there is one, running backwards in order of arrival; repeated rows (the
+    rows that have a twin, halved); crossed, locked and one-sided books; negative sizes at any level and trades without size.
+    max_gap_s is the longest silence within the window, its edges included, max_gap_core_s within core_s around t0. Where the
+    ticks carry instrument_id or raw_symbol, instrument_ids, raw_symbols and contracts (their number) are given. A window
+    without rows, where the windows name all keys, has rows = 0 and NULL measures. One pass over the ticks: both orders are
+    windows of the same exchange; hot windows are cut along arrival and along time, the row before a cut being carried over.
     """
-    t = ticks.join(windows.select(*keys, "start_ns", "end_ns", "t0_ns"), keys)
+    on, own = [k for k in keys if k in windows.columns], ticks.columns
+    has = [c for c in ("sequence", "instrument_id", "raw_symbol") if c in own]
+    t = ticks.withColumn("__row", F.xxhash64(*own)).join(windows.select(*on, "start_ns", "end_ns", "t0_ns"), on)
+    arrival = ["seq", "ts_event", "__row"]
+    c = assign_chunks(t, keys, arrival, piece)
+    last = F.struct(*arrival, *[h for h in has if h == "sequence"])
+    kind = c.df.select(last.alias("s")).schema["s"].dataType.simpleString()
+    rows = c.join_carry(c.carry({"end": F.max(last)}, {"__c": (F.max("end"), True)}), ["__c"], {"__c": kind})
+    w = c.window(*arrival)
+    before, after = F.coalesce(F.lag(last).over(w), F.col("__c")), F.lead(F.struct(*arrival)).over(w)  # a twin is in the same piece
+    here = F.struct(*arrival)
+    rows = rows.withColumns({"__b": before, "__n": after}).withColumns({
+        "__back": F.col("ts_event") < F.col("__b.ts_event"), "__back_seq": F.col("sequence") < F.col("__b.sequence") if "sequence" in has else F.lit(False),
+        "__twin": F.coalesce(here == F.struct(*[F.col(f"__b.{a}") for a in arrival]), F.lit(False)) | F.coalesce(here == F.col("__n"), F.lit(False)),
+    }).drop("__c", "__b", "__n", "__is_cut", CHUNK)
+    rows = with_previous(rows, keys, "ts_event", [], (), piece, ticks)
+
+    def silence(lo: Column, hi: Column) -> Column:
+        """The longest time without an update between lo and hi."""
+        inside = F.col("ts_event").between(lo, hi)
+        within = F.max(F.when(inside, F.col("ts_event") - F.greatest(F.coalesce(F.col("before.__o"), lo), lo)))
+        return F.greatest(within, F.first(hi) - F.coalesce(F.max(F.when(inside, F.col("ts_event"))), F.first(lo))) / NS
+
     both = F.col("bid_px_0").isNotNull() & F.col("ask_px_0").isNotNull()
-    bad = (F.least("bid_sz_0", "ask_sz_0") < 0) | (is_trade() & (F.col("size") <= 0))
-    rows = with_previous(t, keys, "seq", ["ts_event"], ("ts_event",), least_rows)
+    sizes = [c for c in own if "_sz_" in c]
+    bad = (F.least(*sizes) < 0) | (is_trade() & (F.col("size") <= 0))
+    names = {"instrument_id": "instrument_ids", "raw_symbol": "raw_symbols"}
+    lists = [F.sort_array(F.collect_set(h)).alias(names[h]) for h in has if h in names]
+    core = [F.col("t0_ns") + s * NS for s in core_s]
     counts = rows.groupBy(*keys).agg(
-        F.count("*").alias("rows"), F.count_if(F.col("ts_event") < F.col("before.ts_event")).alias("out_of_order_timestamps"),
-        F.count_if(both & (F.col("bid_px_0") > F.col("ask_px_0"))).alias("crossed_book_rows"), F.count_if(both & (F.col("bid_px_0") == F.col("ask_px_0"))).alias("locked_book_rows"),
-        F.count_if(~both).alias("one_sided_rows"), F.count_if(F.coalesce(bad, F.lit(False))).alias("bad_size_rows"),
+        F.count("*").alias("rows"), F.count_if("__back").alias("out_of_order_timestamps"), *([F.count_if("__back_seq").alias("out_of_order_sequence")] if "sequence" in has else []),
+        F.expr("count_if(__twin) div 2").alias("duplicate_records"), F.count_if(both & (F.col("bid_px_0") > F.col("ask_px_0"))).alias("crossed_book_rows"),
+        F.count_if(both & (F.col("bid_px_0") == F.col("ask_px_0"))).alias("locked_book_rows"), F.count_if(~both).alias("one_sided_rows"), F.count_if(F.coalesce(bad, F.lit(False))).alias("bad_size_rows"),
         F.greatest(F.lit(0.0), (F.min("ts_event") - F.first("start_ns")) / NS).alias("starts_late_s"), F.greatest(F.lit(0.0), (F.first("end_ns") - F.max("ts_event")) / NS).alias("ends_early_s"),
+        silence(F.col("start_ns"), F.col("end_ns")).alias("max_gap_s"), silence(*core).alias("max_gap_core_s"), *lists,
     )
-    own = [c for c in ticks.columns]
-    twins = t.groupBy(*own).agg(F.count("*").alias("c")).filter("c > 1").groupBy(*keys).agg(F.expr("sum(c) div 2").alias("duplicate_records"))
-    gaps = _gaps(t, windows, keys, "start_ns", "end_ns", "max_gap_s", least_rows)
-    core = windows.withColumns({"lo": F.col("t0_ns") + core_s[0] * NS, "hi": F.col("t0_ns") + core_s[1] * NS})
-    tc = t.join(core.select(*keys, "lo", "hi"), keys)
-    core_gaps = _gaps(tc, core, keys, "lo", "hi", "max_gap_core_s", least_rows)
-    out = windows.select(*keys).join(counts, keys, "left").join(twins, keys, "left").join(gaps, keys, "left").join(core_gaps, keys, "left")
-    return out.withColumns({"rows": F.coalesce("rows", F.lit(0)), "duplicate_records": F.coalesce("duplicate_records", F.when(F.col("rows") > 0, 0))})
-
-
-def _gaps(t: DataFrame, windows: DataFrame, keys: list[str], lo: str, hi: str, name: str, least_rows: int) -> DataFrame:
-    inside = t.filter(F.col("ts_event").between(F.col(lo), F.col(hi))).select(*keys, "ts_event")
-    have = t.select(*keys).distinct()
-    edges = windows.join(have, keys, "left_semi").select(*keys, F.explode(F.array(lo, hi)).alias("ts_event"))
-    points = with_previous(inside.unionByName(edges).distinct(), keys, "ts_event", ["ts_event"], (), least_rows)
-    return points.groupBy(*keys).agg((F.max(F.col("ts_event") - F.col("before.ts_event")) / NS).alias(name))
+    if "instrument_id" in has:
+        counts = counts.withColumn("contracts", F.size("instrument_ids"))
+    if len(on) < len(keys):
+        return counts
+    return windows.select(*keys).join(counts, keys, "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
 
 
 def roll_week(days_to_expiry: Column, instrument: Column, days: dict[str, int] = ROLL_DAYS) -> Column:
