@@ -4,6 +4,8 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidegrid.config import GridSettings, Study, load, with_overrides
@@ -98,11 +100,39 @@ def test_pnl_and_causal_decisions(spark):
     r = np.random.default_rng(2)
     s = r.normal(size=30)
     ret = -3 * s + r.normal(size=30) * 0.1
-    whole = strategy.decide(s, ret, (0.0, 0.5, 1.0), 8)
-    assert all(d[3] == 0 for d in whole[:8]) and {d[1] for d in whole[10:]} == {-1.0}
+    whole = decisions(spark, s, ret)
+    assert all(d[2] == 0 for d in whole[:8]) and {d[0] for d in whole[10:]} == {-1.0}
     later = ret.copy()
     later[20:] = 99
-    assert strategy.decide(s, later, (0.0, 0.5, 1.0), 8)[:21] == whole[:21]
+    assert decisions(spark, s, later)[:21] == whole[:21]
+    for k in range(8, 30):  # by hand: the mean signed return of the past beyond each threshold
+        scale = np.std(s[:k], ddof=1)
+        gains = [-np.mean(np.sign(s[:k][use]) * ret[:k][use]) if (use := abs(s[:k]) > th * scale).any() else -np.inf for th in (0.0, 0.5, 1.0)]
+        best = (0.0, 0.5, 1.0)[int(np.argmax(np.array(gains) >= max(gains) - 1e-12))]
+        assert whole[k][:2] == (-1.0, best) and whole[k][2] == (-np.sign(s[k]) if abs(s[k]) / scale > best else 0)
+
+
+def decisions(spark, s, ret):
+    t = spark.createDataFrame([("CPI", "ZN", 1, 2, k, float(a), float(b)) for k, (a, b) in enumerate(zip(s, ret))], "event_type string, instrument string, delay_s int, exit_s int, k long, surprise double, ret double")
+    return [(r["sign_mapping"], r["threshold"], r["direction"]) for r in strategy.walk_forward(t, Study(least_training=8)).orderBy("k").collect()]
+
+
+@given(st.lists(st.tuples(st.integers(-3, 5), st.integers(-9, 9), st.integers(0, 4)), max_size=40))
+@settings(max_examples=60, deadline=None)
+def test_sums_above_against_brute_force(rows):
+    size, worth, least = (np.array([float(r[i]) for r in rows]) for i in range(3))
+    total, count = strategy.sums_above(size, worth, least)
+    assert total.tolist() == [sum(w for a, w, _ in rows[:k] if a > c) for k, (_, _, c) in enumerate(rows)]
+    assert count.tolist() == [sum(a > c for a, _, _ in rows[:k]) for k, (_, _, c) in enumerate(rows)]
+
+
+def test_resampled_statistics_against_plain_ones():
+    r = np.random.default_rng(5)
+    x, y = r.integers(0, 4, 9).astype(float), r.normal(size=9)
+    i, counts = stats.draws(9, 50, 3), stats.times_drawn(9, 50, 3)
+    assert np.allclose(stats.resampled_medians(y, counts), np.median(y[i], axis=1))
+    want = [np.polyfit(x[k], y[k], 1)[0] for k in i if len(set(x[k])) > 1]
+    assert np.allclose(stats.resampled_slopes(x, y, counts), want)
 
 
 def test_standardise(spark):
@@ -122,7 +152,7 @@ def test_quality_verdicts(spark):
     df = spark.createDataFrame(ticks, "w string, seq long, ts_event long, action int, size long, bid_px_0 long, ask_px_0 long, bid_sz_0 long, ask_sz_0 long")
     win = spark.createDataFrame([(w, t0 - 60 * s, t0 + 120 * s, t0) for w in ("ok", "crossed", "gap", "twins", "empty")], "w string, start_ns long, end_ns long, t0_ns long")
     for least in (500_000, 50):
-        v = {r["w"]: (r["status"], r["reasons"]) for r in quality.verdict(quality.check_windows(df, win, ["w"], least_rows=least)).collect()}
+        v = {r["w"]: (r["status"], r["reasons"]) for r in quality.verdict(quality.check_windows(df, win, ["w"], piece=least)).collect()}
         assert {k: x[0] for k, x in v.items()} == {"ok": "ok", "crossed": "reject", "gap": "reject", "twins": "warn", "empty": "reject"}
         assert v["twins"][1] == ["3 duplicate records"] and v["empty"][1] == ["no data in the window"]
 
@@ -135,7 +165,9 @@ def test_clock_holidays_and_meetings(spark):
     for r in df.collect():
         assert dt.datetime.fromtimestamp(r["ns"] / 1e9, dt.UTC).strftime("%Y-%m-%d %H:%M") == f"{r['d']} {r['u']}"
     days = {d for d, _ in calendar.holidays(2024, 2026)}
-    assert {dt.date(2026, 4, 3), dt.date(2026, 7, 3), dt.date(2026, 11, 26)} <= days
+    assert {dt.date(2026, 4, 3), dt.date(2026, 7, 3), dt.date(2026, 11, 26), dt.date(2026, 11, 27), dt.date(2026, 12, 24), dt.date(2024, 5, 27), dt.date(2025, 6, 19)} <= days
+    assert len(days) == 36 and dt.date(2025, 10, 13) not in days
+    assert [calendar.easter(y) for y in (1818, 1943, 2000, 2024, 2025, 2026, 2049, 2076)] == [dt.date(*d) for d in ((1818, 3, 22), (1943, 4, 25), (2000, 4, 23), (2024, 3, 31), (2025, 4, 20), (2026, 4, 5), (2049, 4, 18), (2076, 4, 19))]
     rows = [(1, "2024-05-01", "14:00", "14:30", "https://x.y"), (2, "2024-05-01", "14:00", "", "https://x.y"), (3, "2024-05-04", "2 pm", None, "no"), (4, "x", None, None, None), (5, "2024-05-02", "14:00", "13:00", "https://x.y")]
     f = calendar.meeting_faults(spark.createDataFrame(rows, "id int, date string, statement_time_et string, press_conference_time_et string, source_url string"), "id", "2024-01-01", "2024-12-31").collect()
     assert sorted((r["id"], r["fault"][:12]) for r in f) == [(2, "duplicate me"), (3, "source_url i"), (3, "statement_ti"), (3, "weekend"), (4, "date is not "), (5, "press confer")]
@@ -157,10 +189,14 @@ def test_vintages(spark):
 
 def test_control_days_are_free_and_many_enough(spark):
     days = spark.sql("SELECT explode(sequence(DATE '2024-01-01', DATE '2024-03-31')) AS date")
-    busy = spark.sql("SELECT '08:30' AS time_et, explode(sequence(DATE '2024-01-04', DATE '2024-03-28', INTERVAL 7 DAY)) AS date")
+    busy = spark.sql("SELECT '08:30' AS time_et, explode(sequence(DATE '2024-01-04', DATE '2024-03-28', INTERVAL 7 DAY)) AS date, 2 AS tier")
     wanted = spark.createDataFrame([("08:30", 20)], "time_et string, n int")
     out = calendar.control_days(days, busy, calendar.holiday_table(spark, 2024, 2024), busy, wanted, 1).toPandas()
     assert len(out) == 20 == out.date.nunique() and not any(d.weekday() in (3, 5, 6) for d in out.date)
+    fewer = calendar.control_days(days, busy, calendar.holiday_table(spark, 2024, 2024), busy, wanted, 1, out_of := days.filter("date < DATE '2024-02-20'"))
+    assert fewer.join(out_of, "date").count() == 0
+    with pytest.raises(calendar.MissingTierError):
+        calendar.control_days(days, busy.withColumn("tier", F.lit(1)), busy, busy, wanted, 1)
 
 
 def test_settings():

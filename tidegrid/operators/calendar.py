@@ -18,40 +18,40 @@ VARIABLES = {
 }
 
 
-def easter(year: int) -> dt.date:
-    """Easter Sunday of the Gregorian calendar, by the anonymous method."""
-    a, (b, c) = year % 19, divmod(year, 100)
-    h = (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30
-    k = (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7
-    m = (a + 11 * h + 22 * k) // 451
-    month, day = divmod(h + k - 7 * m + 114, 31)
-    return dt.date(year, month, day + 1)
-
-
-def _nth(year: int, month: int, weekday: int, n: int) -> dt.date:
-    """The n-th such weekday of the month; the last for n = -1."""
-    if n < 0:
-        last = dt.date(year + month // 12, month % 12 + 1, 1) - dt.timedelta(days=1)
-        return last - dt.timedelta(days=(last.weekday() - weekday) % 7)
-    first = dt.date(year, month, 1)
-    return first + dt.timedelta(days=(weekday - first.weekday()) % 7 + 7 * (n - 1))
+#: The days on which the market is closed or thin. "fixed" days of a month, those marked "observed" moved from a
+#: weekend to the nearest weekday; "nth" weekday of a month (0 is Monday), the last for -1, some days later; days from Easter.
+HOLIDAYS = (
+    ("New Year's Day", "observed", 1, 1), ("Martin Luther King Jr. Day", "nth", 1, 0, 3, 0), ("Presidents' Day", "nth", 2, 0, 3, 0), ("Good Friday", "easter", -2),
+    ("Memorial Day", "nth", 5, 0, -1, 0), ("Juneteenth", "observed", 6, 19), ("Independence Day", "observed", 7, 4), ("Labor Day", "nth", 9, 0, 1, 0),
+    ("Thanksgiving", "nth", 11, 3, 4, 0), ("Day after Thanksgiving", "nth", 11, 3, 4, 1), ("Christmas Eve", "fixed", 12, 24), ("Christmas Day", "observed", 12, 25),
+)
 
 
-def _observed(day: dt.date) -> dt.date:
-    return day + dt.timedelta(days={5: -1, 6: 1}.get(day.weekday(), 0))
+def easter(year: int) -> dt.date:
+    """Easter Sunday of the Gregorian calendar, by golden number and epact."""
+    golden, century = year % 19 + 1, year // 100 + 1
+    leaps = 3 * century // 4 - 12
+    epact = (11 * golden + 20 + (8 * century + 5) // 25 - 5 - leaps) % 30
+    epact += epact == 24 or (epact == 25 and golden > 11)
+    moon = 44 - epact + (30 if epact > 23 else 0)  # the full moon, as a day of March
+    return dt.date(year, 3, 1) + dt.timedelta(days=moon + 6 - (5 * year // 4 - leaps - 10 + moon) % 7)
+
+
+def _day(year: int, kind: str, *at: int) -> dt.date:
+    """The day of a rule of HOLIDAYS in a year."""
+    if kind == "easter":
+        return easter(year) + dt.timedelta(days=at[0])
+    if kind == "nth":
+        month, weekday, n, later = at
+        every = [d for k in range(31) if (d := dt.date(year, month, 1) + dt.timedelta(days=k)).month == month and d.weekday() == weekday]
+        return every[n - 1 if n > 0 else n] + dt.timedelta(days=later)
+    day = dt.date(year, *at)
+    return day + dt.timedelta(days={5: -1, 6: 1}.get(day.weekday(), 0) if kind == "observed" else 0)
 
 
 def holidays(first: int, last: int) -> list[tuple[dt.date, str]]:
-    """Days on which the market is closed, observed on the nearest weekday; a year has eleven."""
-    out = []
-    for y in range(first, last + 1):
-        out += [
-            (_observed(dt.date(y, 1, 1)), "New Year's Day"), (_nth(y, 1, 0, 3), "Martin Luther King Jr. Day"), (_nth(y, 2, 0, 3), "Presidents' Day"),
-            (easter(y) - dt.timedelta(days=2), "Good Friday"), (_nth(y, 5, 0, -1), "Memorial Day"), (_observed(dt.date(y, 6, 19)), "Juneteenth"),
-            (_observed(dt.date(y, 7, 4)), "Independence Day"), (_nth(y, 9, 0, 1), "Labor Day"), (_nth(y, 10, 0, 2), "Columbus Day"), (_nth(y, 11, 3, 4), "Thanksgiving"),
-            (_observed(dt.date(y, 12, 25)), "Christmas Day"),
-        ]
-    return sorted(out)
+    """Days of these years on which the market is closed or thin; a year has twelve."""
+    return sorted((_day(y, *rule), name) for y in range(first, last + 1) for name, *rule in HOLIDAYS)
 
 
 def holiday_table(spark: SparkSession, first: int, last: int) -> DataFrame:
@@ -103,13 +103,23 @@ def apportion(weights: DataFrame, keys: list[str], item: str, weight: str, total
     return d.withColumn("share", (F.col("__floor") + F.when(rank <= F.col("__left"), 1).otherwise(0)).cast("long")).select(*keys, item, "share")
 
 
-def control_days(candidates: DataFrame, busy: DataFrame, closed: DataFrame, studied: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
+class MissingTierError(RuntimeError):
+    """Control days would be drawn without knowing the releases of the second tier."""
+
+
+def control_days(
+    candidates: DataFrame, busy: DataFrame, closed: DataFrame, studied: DataFrame, wanted: DataFrame, seed: int, excluded: DataFrame | None = None, need_second_tier: bool = True
+) -> DataFrame:
     """Control days per clock time that match the weekdays of the studied events: time_et, date.
 
-    candidates: date; busy and studied: time_et, date; closed: date; wanted: time_et, n. Weekends, closed and busy days are out.
-    Days are drawn by a seeded integer hash of the date, so the draw doesn't depend on partitioning; a weekday that runs out is
-    filled up from the other free days of that clock time.
+    candidates: date; busy: time_et, date, tier of all releases; studied: time_et, date; closed and excluded: date; wanted:
+    time_et, n. Weekends, closed, excluded and busy days are out. A calendar without a release of tier 2 is an error, as
+    controls could fall on such releases. Days are drawn by a seeded integer hash of the date, so the draw doesn't depend on
+    partitioning; a weekday that runs out is filled up from the other free days of that clock time.
     """
+    if need_second_tier and ("tier" not in busy.columns or busy.filter("tier = 2").isEmpty()):
+        raise MissingTierError("the calendar has no releases of tier 2")
+    closed = closed.select("date") if excluded is None else closed.select("date").union(excluded.select("date"))
     free = candidates.filter(F.weekday("date") < 5).join(closed.select("date").distinct(), "date", "left_anti")
     pool = free.join(F.broadcast(wanted.select("time_et", "n"))).join(busy.select("time_et", "date").distinct(), ["time_et", "date"], "left_anti")
     draw = (F.unix_date("date").cast("long") * 7919 + seed) * 48271 % 2147483647

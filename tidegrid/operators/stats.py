@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,18 +84,31 @@ def draws(n: int, reps: int, seed: int) -> np.ndarray:
     return ((r * REP_STEP + s * SLOT_STEP + seed) * MULTIPLIER % MODULUS) % max(n, 1)
 
 
+def times_drawn(n: int, reps: int, seed: int) -> np.ndarray:
+    """reps x n: how often each event is drawn in each resample. Every resampled statistic is a function of these counts."""
+    flat = draws(n, reps, seed) + np.arange(reps)[:, None] * n
+    return np.bincount(flat.ravel(), minlength=reps * n).reshape(reps, n)
+
+
+def resampled_medians(v: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Medians of the resamples: the middle places among the values in order, each repeated as often as it was drawn."""
+    order = np.argsort(v, kind="stable")
+    upto, n = np.cumsum(counts[:, order], axis=1), len(v)
+    return (v[order][(upto > (n - 1) // 2).argmax(axis=1)] + v[order][(upto > n // 2).argmax(axis=1)]) / 2
+
+
 def interval(values: np.ndarray, reps: int, seed: int, stat: str) -> tuple[float | None, float | None, float | None, int]:
     """(estimate, lo, hi, n) of the median or mean over events; no interval for fewer than two."""
     v = values[~np.isnan(values)]
-    f = np.median if stat == "median" else np.mean
-    if not len(v):
+    n = len(v)
+    if not n:
         return None, None, None, 0
-    if len(v) < 2:
-        return float(f(v)), None, None, len(v)
-    step = max(1, 4_000_000 // len(v))
-    boot = np.concatenate([f(v[draws(len(v), reps, seed)[k : k + step]], axis=1) for k in range(0, reps, step)])
-    lo, hi = np.quantile(boot, [0.025, 0.975])
-    return float(f(v)), float(lo), float(hi), len(v)
+    estimate = float(np.median(v) if stat == "median" else v.mean())
+    if n == 1:
+        return estimate, None, None, 1
+    counts = times_drawn(n, reps, seed)
+    lo, hi = np.percentile(resampled_medians(v, counts) if stat == "median" else counts @ v / n, (2.5, 97.5))
+    return estimate, float(lo), float(hi), n
 
 
 def event_intervals(df: DataFrame, keys: list[str], event: str, value: str, reps: int, seed: int, stat: str = "median") -> DataFrame:
@@ -129,7 +143,7 @@ def curve_intervals(df: DataFrame, keys: list[str], event: str, at: str, value:
         mean = np.where(count > 0, filled.sum(0) / np.maximum(count, 1), np.nan)
         lo = hi = np.full(len(mean), np.nan)
         if n >= 2:
-            weights = np.stack([np.bincount(d, minlength=n) for d in draws(n, reps, seed)]).astype(float)
+            weights = times_drawn(n, reps, seed).astype(float)
             boot = np.divide(weights @ filled, weights @ held, out=np.full((reps, x.shape[1]), np.nan), where=(weights @ held) > 0)
             some = ~np.all(np.isnan(boot), axis=0)
             lo, hi = np.full(len(mean), np.nan), np.full(len(mean), np.nan)
@@ -146,26 +160,30 @@ def curve_intervals(df: DataFrame, keys: list[str], event: str, at: str, value:
     return kept.groupBy(*keys).applyInPandas(run, schema).withColumnRenamed("at", at)
 
 
-def slope_intervals(df: DataFrame, keys: list[str], event: str, x: str, y: str, reps: int, seed: int) -> DataFrame:
-    """Per group the percentile interval of the slope over resampled events: keys, boot_lo, boot_hi; NULL for fewer than three."""
+def resampled_slopes(x: np.ndarray, y: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Slopes of the resamples that hold at least two different x, all from one product of the counts with the moments of each event."""
+    n = len(x)
+    u, v = x - x.mean(), y - y.mean()
+    su, sv, suu, suv = (counts @ np.stack((u, v, u * u, u * v), axis=1)).T
+    _, kind = np.unique(x, return_inverse=True)
+    varied = ((counts @ np.eye(kind.max() + 1)[kind]) > 0).sum(axis=1) > 1
+    return ((n * suv - su * sv)[varied]) / ((n * suu - su * su)[varied])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf.dropna(subset=["x", "y"]).sort_values("__e")
-        n, lo, hi = len(d), None, None
-        if n >= 3:
-            i = draws(n, reps, seed)
-            xs, ys = d["x"].to_numpy(float)[i], d["y"].to_numpy(float)[i]
-            xm = xs - xs.mean(axis=1, keepdims=True)
-            down = (xm**2).sum(axis=1)
-            fine = xs.max(axis=1) > xs.min(axis=1)
-            b = (xm * (ys - ys.mean(axis=1, keepdims=True))).sum(axis=1)[fine] / down[fine]
-            if len(b):
-                lo, hi = (float(v) for v in np.quantile(b, [0.025, 0.975]))
-        return pd.DataFrame([[*[pdf[k].iloc[0] for k in keys], lo, hi]], columns=[*keys, "boot_lo", "boot_hi"])
 
+def slope_intervals(df: DataFrame, keys: list[str], event: str, x: str, y: str, reps: int, seed: int) -> DataFrame:
+    """Per group the percentile interval of the slope over resampled events: keys, boot_lo, boot_hi; NULL for fewer than three."""
     kept = df.select(*keys, F.col(event).cast("string").alias("__e"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     schema = T.StructType([*[kept.schema[k] for k in keys], *T.StructType.fromDDL("boot_lo double, boot_hi double").fields])
-    return kept.groupBy(*keys).applyInPandas(run, schema)
+
+    def run(part: pa.Table) -> pa.Table:
+        rows = part.select(["__e", "x", "y"]).sort_by("__e").drop_null()
+        xs, ys = (rows.column(c).to_numpy().astype(float) for c in ("x", "y"))
+        fine = ~(np.isnan(xs) | np.isnan(ys))
+        slopes = resampled_slopes(xs[fine], ys[fine], times_drawn(int(fine.sum()), reps, seed)) if fine.sum() >= 3 else np.empty(0)
+        ends = np.percentile(slopes, (2.5, 97.5)).tolist() if len(slopes) else [None, None]
+        return pa.table({**{k: part.column(k).slice(0, 1) for k in keys}, "boot_lo": pa.array(ends[:1], pa.float64()), "boot_hi": pa.array(ends[1:], pa.float64())})
+
+    return kept.groupBy(*keys).applyInArrow(run, schema)
 
 
 def nearest_quantile(df: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
