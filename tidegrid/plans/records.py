@@ -34,9 +34,8 @@ def query(sql: str | None = None):
 
 def _quality(spark, folder) -> DataFrame:
     ticks = table(spark, folder, "book_updates").drop("received_at")
-    t0 = table(spark, folder, "stages").groupBy("window_id", "stage").agg(F.min("t0_ns").alias("t0_ns"))
-    windows = ticks.select(*_SERIES).distinct().join(t0, ["window_id", "stage"])
-    windows = windows.select(*_SERIES, "t0_ns", (F.col("t0_ns") - 65 * NS).alias("start_ns"), (F.col("t0_ns") + 120 * NS).alias("end_ns"))
+    windows = table(spark, folder, "stages").dropna(subset=["window_id", "stage"]).groupBy("window_id", "stage").agg(F.min("t0_ns").alias("t0_ns"))
+    windows = windows.select("window_id", "stage", "t0_ns", (F.col("t0_ns") - 65 * NS).alias("start_ns"), (F.col("t0_ns") + 120 * NS).alias("end_ns"))
     return quality.check_windows(ticks, windows, _SERIES, (-5, 10))
 
 
@@ -126,7 +125,20 @@ def stage_expansion(spark, folder):
     return calendar.expand_stages(calendar.calendar(_events(spark, folder)), c)
 
 
-@query()
+#: The twelve rules of the closed and thin days in SQL, for the years given.
+_HOLIDAYS = """y AS (SELECT CAST(y AS INTEGER) AS y FROM generate_series({first}, {last}) AS s(y)),
+g AS (SELECT y, y % 19 + 1 AS gold, (3 * (y // 100 + 1)) // 4 - 12 AS leaps, (8 * (y // 100 + 1) + 5) // 25 - 5 AS moon FROM y),
+ep AS (SELECT *, (11 * gold + 20 + moon - leaps) % 30 AS e0 FROM g), ef AS (SELECT *, 44 - (e0 + CASE WHEN e0 = 24 OR (e0 = 25 AND gold > 11) THEN 1 ELSE 0 END) AS n0 FROM ep),
+ea AS (SELECT y, leaps, n0 + CASE WHEN n0 < 21 THEN 30 ELSE 0 END AS n FROM ef), easter AS (SELECT y, make_date(y, 3, 1) + CAST(n + 6 - ((5 * y) // 4 - leaps - 10 + n) % 7 AS INTEGER) AS d FROM ea),
+nth(name, m, wd, n, later) AS (VALUES ('Martin Luther King Jr. Day', 1, 1, 3, 0), ('Presidents'' Day', 2, 1, 3, 0), ('Labor Day', 9, 1, 1, 0), ('Thanksgiving', 11, 4, 4, 0), ('Day after Thanksgiving', 11, 4, 4, 1)),
+obs(name, m, d) AS (VALUES ('New Year''s Day', 1, 1), ('Juneteenth', 6, 19), ('Independence Day', 7, 4), ('Christmas Day', 12, 25)),
+holiday AS (SELECT make_date(y, m, 1) + CAST((wd - isodow(make_date(y, m, 1)) + 7) % 7 + 7 * (n - 1) + later AS INTEGER) AS date, name FROM y, nth
+    UNION ALL SELECT make_date(y, 5, 31) - CAST(isodow(make_date(y, 5, 31)) - 1 AS INTEGER), 'Memorial Day' FROM y
+    UNION ALL SELECT make_date(y, m, d) + CASE isodow(make_date(y, m, d)) WHEN 6 THEN -1 WHEN 7 THEN 1 ELSE 0 END, name FROM y, obs
+    UNION ALL SELECT d - 2, 'Good Friday' FROM easter UNION ALL SELECT make_date(y, 12, 24), 'Christmas Eve' FROM y)"""
+
+
+@query(f"WITH {_HOLIDAYS.format(first=2024, last=2026)} SELECT CAST(date AS DATE) AS date, name FROM holiday")
 def holiday_table(spark, folder):
     return calendar.holiday_table(spark, 2024, 2026)
 
@@ -139,7 +151,17 @@ def largest_remainder(spark, folder):
     return calendar.apportion(d.groupBy("time_et", F.weekday("event_date").alias("weekday")).agg(F.count("*").alias("weight")), ["time_et"], "weekday", "weight", F.lit(7))
 
 
-@query()
+@query(f"""WITH {_HOLIDAYS.format(first=2024, last=2024)}, wanted(time_et, n) AS (VALUES ('08:30', 30), ('14:00', 15)), ev AS (SELECT DISTINCT time_et, event_date AS date, tier FROM stages WHERE event_type <> 'CONTROL'),
+cand AS (SELECT CAST(d AS DATE) AS date FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-12-31', INTERVAL 1 DAY) AS s(d)),
+pool AS (SELECT w.time_et, w.n, c.date, CAST(isodow(c.date) - 1 AS INTEGER) AS weekday, (date_diff('day', DATE '1970-01-01', c.date) * 7919 + 20241001) * 48271 % 2147483647 AS draw FROM cand c, wanted w
+    WHERE isodow(c.date) < 6 AND NOT EXISTS (SELECT 1 FROM holiday h WHERE h.date = c.date) AND NOT EXISTS (SELECT 1 FROM ev WHERE ev.time_et = w.time_et AND ev.date = c.date)),
+wt AS (SELECT time_et, CAST(isodow(date) - 1 AS INTEGER) AS weekday, count(*) AS weight FROM ev WHERE tier = 1 AND isodow(date) < 6 GROUP BY ALL),
+ex AS (SELECT wt.*, n, n * weight / CAST(sum(weight) OVER (PARTITION BY time_et) AS DOUBLE) AS exact FROM wt JOIN wanted USING (time_et)), fl AS (SELECT *, floor(exact + 1e-9) AS f, round(exact - floor(exact + 1e-9), 9) AS r FROM ex),
+plan AS (SELECT time_et, weekday, f + CASE WHEN row_number() OVER (PARTITION BY time_et ORDER BY r DESC, weight DESC, weekday) <= n - sum(f) OVER (PARTITION BY time_et) THEN 1 ELSE 0 END AS share FROM fl),
+ranked AS (SELECT p.*, row_number() OVER (PARTITION BY p.time_et, p.weekday ORDER BY draw, date) <= coalesce(share, 0) AS chosen FROM pool p LEFT JOIN plan USING (time_et, weekday)),
+filled AS (SELECT *, n - sum(CASE WHEN chosen THEN 1 ELSE 0 END) OVER (PARTITION BY time_et) AS short, row_number() OVER (PARTITION BY time_et, chosen ORDER BY draw, date) AS rest FROM ranked)
+SELECT 'CONTROL' || replace(time_et, ':', '') || '_' || strftime(date, '%Y-%m-%d') AS control_id, time_et, date, strftime(date, '%a') AS weekday,
+    (date_diff('day', DATE '1970-01-01', date) * 1440 + CAST(substr(time_et, 1, 2) AS BIGINT) * 60 + CAST(substr(time_et, 4, 2) AS BIGINT) + 60 * {ET_HOURS.format(d='date')}) * 60000000000 AS t0_utc_ns FROM filled WHERE chosen OR rest <= short""")
 def control_days(spark, folder):
     events = table(spark, folder, "stages").filter("event_type <> 'CONTROL'").select("time_et", F.col("event_date").alias("date"), "tier").distinct()
     candidates = spark.sql("SELECT explode(sequence(DATE '2024-01-01', DATE '2024-12-31')) AS date")

@@ -16,6 +16,8 @@ from tidegrid.sources import tape
 COARSE, FINE = TAPE.coarse.grid("coarse"), TAPE.fine.grid("fine")
 SQL: dict[str, str] = {}
 QUERIES: dict = {}
+#: Value of a tick by instrument of the tape.
+TICK_USD = {"click": 15.625, "view": 12.5, "purchase": 10.0, "signup": 31.25, "error": 7.8125}
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
@@ -149,10 +151,10 @@ walk AS (SELECT window_id, CASE WHEN event_type = 'CONTROL' THEN 'CONTROL ' || t
     "decided": """decided AS (SELECT s.*, coalesce(l.sg, 0.0) AS sign_mapping, l.threshold, CASE WHEN coalesce(abs(s.z) > l.threshold, false) THEN l.sg * sign(s.z) ELSE 0.0 END AS direction
     FROM scaled s LEFT JOIN (SELECT event_type, instrument, delay_s, exit_s, k, sg, CASE WHEN g0 >= g - 1e-12 THEN 0.0 WHEN g1 >= g - 1e-12 THEN 0.5 ELSE 1.0 END AS threshold FROM learned WHERE g > -1e308) l USING (event_type, instrument, delay_s, exit_s, k))""",
     "backtested": f"""backtested AS (SELECT event_type, instrument, delay_s, exit_s, event_id, release_date, k < {TAPE.least_training} AS training_only, z, threshold, sign_mapping, direction,
-    CASE WHEN direction <> 0 THEN gross END AS gross_ticks, CASE WHEN direction <> 0 THEN gross - fee END AS net_ticks, CASE WHEN direction <> 0 THEN (gross - fee) * {TAPE.tick_usd} END AS net_usd,
+    CASE WHEN direction <> 0 THEN gross END AS gross_ticks, CASE WHEN direction <> 0 THEN gross - fee END AS net_ticks, CASE WHEN direction <> 0 THEN (gross - fee) * tick_usd END AS net_usd,
     CASE WHEN k >= {TAPE.least_training} AND ret <> 0 THEN CASE WHEN ret > 0 THEN xb - ea ELSE eb - xa END - fee END AS upper_bound_net_ticks,
     CASE WHEN k >= {TAPE.least_training} THEN ((xb - ea) + (eb - xa)) / 2.0 - fee END AS random_net_ticks
-    FROM (SELECT *, {2 * TAPE.fee_usd / TAPE.tick_usd!r} AS fee, CAST(CASE WHEN direction > 0 THEN xb - ea WHEN direction < 0 THEN eb - xa ELSE 0 END AS DOUBLE) AS gross FROM decided))""",
+    FROM (SELECT *, {2 * TAPE.fee_usd!r} / tick_usd AS fee, CAST(CASE WHEN direction > 0 THEN xb - ea WHEN direction < 0 THEN eb - xa ELSE 0 END AS DOUBLE) AS gross FROM decided JOIN (VALUES {', '.join(f"('{i}', CAST({u} AS DOUBLE))" for i, u in TICK_USD.items())}) v(instrument, tick_usd) USING (instrument)))""",
 }
 ORDER = list(STEPS)
 NEEDS = {
@@ -350,8 +352,28 @@ def _events(spark, folder):
     return liquidity.event_metrics(p, TAPE).join(liquidity.withdrawal_starts(p, TAPE), liquidity.SERIES)
 
 
-def _boot(values: str, keys: str, stat: str, reps: int, seed: int) -> str:
+def _boot(values: str, keys: str, stat: str, reps: int, seed: int, name: str = "boot") -> str:
     """Interval of a statistic over events in SQL: the portable resampler on rows numbered by event."""
+    return _boot_sql(values, keys, stat, reps, seed).replace("boot_", f"{name}_")
+
+
+def _curve_boot(values: str, keys: str, reps: int, seed: int) -> str:
+    """Bands of a mean curve in SQL; values: keys, e (the event), pos, v. Gives cb_e (keys, pos, mean, n) and cb_q (keys, pos, lo, hi)."""
+    return f"""cb_rows AS ({values}),
+cb_ids AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY e) - 1 AS i, count(*) OVER (PARTITION BY {keys}) AS n FROM (SELECT DISTINCT {keys}, e FROM cb_rows)),
+cb_m AS (SELECT {keys}, i, n, pos, v FROM cb_rows JOIN cb_ids USING ({keys}, e)),
+cb_d AS (SELECT g.*, r.rep, ((r.rep * {stats.REP_STEP} + s.slot * {stats.SLOT_STEP} + {seed}) * {stats.MULTIPLIER} % {stats.MODULUS}) % n AS i FROM (SELECT DISTINCT {keys}, n FROM cb_ids WHERE n >= 2) g, generate_series(0, {reps - 1}) AS r(rep), generate_series(0, 400) AS s(slot) WHERE s.slot < g.n),
+cb_b AS (SELECT {keys}, rep, pos, avg(v) AS b FROM cb_d JOIN (SELECT * EXCLUDE n FROM cb_m) USING ({keys}, i) GROUP BY ALL),
+cb_q AS (SELECT {keys}, pos, quantile_cont(b, 0.025) AS lo, quantile_cont(b, 0.975) AS hi FROM cb_b WHERE b IS NOT NULL GROUP BY ALL),
+cb_e AS (SELECT {keys}, pos, avg(v) AS mean, any_value(n) AS n FROM cb_m GROUP BY ALL)"""
+
+
+def _final(name: str, steps: tuple[str, ...], ctes: str, select: str) -> None:
+    """Register SQL that needs more steps than the common ones."""
+    SQL[name] = with_steps("SELECT 1 AS one", steps).replace("final AS (SELECT 1 AS one)", f"{ctes}, final AS ({select})")
+
+
+def _boot_sql(values: str, keys: str, stat: str, reps: int, seed: int) -> str:
     return f"""boot_v AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY e) - 1 AS i, count(*) OVER (PARTITION BY {keys}) AS n FROM ({values}) WHERE v IS NOT NULL),
 boot_g AS (SELECT DISTINCT {keys}, n FROM boot_v WHERE n >= 2),
 boot_d AS (SELECT g.*, r.rep, ((r.rep * {stats.REP_STEP} + s.slot * {stats.SLOT_STEP} + {seed}) * {stats.MULTIPLIER} % {stats.MODULUS}) % n AS i FROM boot_g g, generate_series(0, {reps - 1}) AS r(rep), generate_series(0, 400) AS s(slot) WHERE s.slot < g.n),
@@ -396,6 +418,16 @@ final AS (SELECT {R('group', 'instrument', 'offset_s', 'n_events', **D('mean', '
 )
 
 
+_final(
+    "liquidity_against_controls", ("metrics",),
+    _WITHDRAWAL + f""", evs AS (SELECT m.*, f.withdrawal_start_s FROM metrics m LEFT JOIN found f USING (window_id, stage, "group", instrument)), """
+    + _boot(f"""SELECT "group", instrument, window_id AS e, unnest({liquidity.METRICS!r}) AS metric, unnest([{', '.join(f'CAST({m} AS DOUBLE)' for m in liquidity.METRICS)}]) AS v FROM evs""", '"group", instrument, metric', "median", TAPE.reps, TAPE.seed),
+    f"""SELECT c.cg AS control_group, {', '.join(f'e."{k}"' for k in ('group', 'instrument', 'metric', 'n'))}, {', '.join(f'round({k}, 6) + 0.0 AS {k}' for k in ('lo', 'hi'))}, round(e.estimate, 6) + 0.0 AS estimate, round(k.estimate, 6) + 0.0 AS control_estimate, k.n AS n_control
+    FROM boot_e e JOIN (VALUES ('CPI release', 'CONTROL 08:30'), ('NFP release', 'CONTROL 08:30'), ('FOMC statement', 'CONTROL 14:00'), ('FOMC press conference', 'CONTROL 14:30')) c(g, cg) ON e."group" = c.g
+    LEFT JOIN boot_q q ON q."group" = e."group" AND q.instrument = e.instrument AND q.metric = e.metric LEFT JOIN boot_e k ON k."group" = c.cg AND k.instrument = e.instrument AND k.metric = e.metric""",
+)
+
+
 @query()
 def curve_bands(spark, folder):
     """The curves of all four measures with their bands."""
@@ -403,6 +435,12 @@ def curve_bands(spark, folder):
     return stats.curve_intervals(p, ["group", "instrument", "measure"], "window_id", "offset_s", "value", TAPE.reps, TAPE.seed)
 
 
+_final(
+    "curve_bands", ("points",), _curve_boot("""SELECT "group", instrument, measure, window_id AS e, offset_s AS pos, value AS v FROM points""", '"group", instrument, measure', TAPE.reps, TAPE.seed),
+    f"""SELECT {R('group', 'instrument', 'measure', **D('mean', 'lo', 'hi'))}, pos AS offset_s, n AS n_events FROM cb_e LEFT JOIN cb_q USING ("group", instrument, measure, pos)""",
+)
+
+
 # Reaction
 
 
@@ -435,6 +473,16 @@ def first_mover_intervals(spark, folder):
     return reaction.ranking(_first(spark, folder), TAPE)
 
 
+_LEADS = f"SELECT *, first_move_ms - max(CASE WHEN instrument = '{TAPE.reference}' THEN first_move_ms END) OVER (PARTITION BY window_id, event_type, stage) AS lead_ms FROM first"
+_FK = "event_type, stage, instrument"
+_final(
+    "first_mover_intervals", ("first",),
+    f"leads AS ({_LEADS}), " + _boot(f"SELECT {_FK}, window_id AS e, first_move_ms AS v FROM leads", _FK, "median", TAPE.reps, TAPE.seed + 1, "own") + ", " + _boot(f"SELECT {_FK}, window_id AS e, lead_ms AS v FROM leads", _FK, "median", TAPE.reps, TAPE.seed + 1, "pair"),
+    f"""SELECT {_FK}, events, o.n AS events_with_move, p.n AS paired_events, round(o.estimate, 6) + 0.0 AS median_first_move_ms, round(oq.lo, 6) + 0.0 AS lo, round(oq.hi, 6) + 0.0 AS hi, round(p.estimate, 6) + 0.0 AS median_minus_ref_ms, round(pq.lo, 6) + 0.0 AS diff_lo, round(pq.hi, 6) + 0.0 AS diff_hi
+    FROM (SELECT {_FK}, count(*) AS events FROM first GROUP BY ALL) JOIN own_e o USING ({_FK}) JOIN pair_e p USING ({_FK}) LEFT JOIN own_q oq USING ({_FK}) LEFT JOIN pair_q pq USING ({_FK})""",
+)
+
+
 @query(f"SELECT {R('window_id', 'event_type', 'stage', 'instrument', 'horizon_s', **D('mid_move', 'abs_move_ticks', 'vol_1s', 'abs_move_vol'))} FROM jumps", ("jumps",))
 def jump_sizes(spark, folder):
     return reaction.jump_sizes(_coarse(spark, folder), TAPE)
@@ -458,6 +506,12 @@ def lead_lag_bands(spark, folder):
     return reaction.lead_lag(_fine(spark, folder), TAPE)
 
 
+_final(
+    "lead_lag_bands", ("lagged",), _curve_boot("SELECT event_type, instrument, window_id || '/' || stage AS e, lag_ms AS pos, corr AS v FROM lagged", "event_type, instrument", TAPE.reps, TAPE.seed + 1),
+    "SELECT event_type, instrument, pos AS lag_ms, round(mean, 6) + 0.0 AS corr, round(lo, 6) + 0.0 AS lo, round(hi, 6) + 0.0 AS hi, n AS events FROM cb_e LEFT JOIN cb_q USING (event_type, instrument, pos)",
+)
+
+
 # Regression
 
 
@@ -569,10 +623,10 @@ final AS (SELECT {R('event_type', 'instrument', 'window', 'n_events', **D('beta'
 # Execution
 
 
-@query(f"SELECT {R('window_id', 'group', 'instrument', 'offset_s', 'qty', 'insufficient_depth', **D('buy_ticks', 'sell_ticks'))}, round((buy_ticks + sell_ticks) / 2, 6) + 0.0 AS cost_ticks, 0.16 AS fee_ticks, 15.625 AS tick_usd FROM walk", ("walk",))
+@query(f"SELECT {R('window_id', 'group', 'instrument', 'offset_s', 'qty', 'insufficient_depth', **D('buy_ticks', 'sell_ticks'))}, round((buy_ticks + sell_ticks) / 2, 6) + 0.0 AS cost_ticks, round({TAPE.fee_usd} / tick_usd, 6) AS fee_ticks, tick_usd FROM walk JOIN (VALUES {', '.join(f"('{i}', CAST({u} AS DOUBLE))" for i, u in TICK_USD.items())}) v(instrument, tick_usd) USING (instrument)", ("walk",))
 def book_walk_cost(spark, folder):
     rows = execution.costs(tape.ticks(spark, folder), tape.stages(spark, folder), COARSE, TAPE.order_sizes)
-    return execution.with_fees(rows, TAPE.fee_usd, F.lit(TAPE.tick_usd))
+    return execution.with_fees(rows.join(_definitions(spark), "instrument", "left"), TAPE.fee_usd, F.col("tick_usd"))
 
 
 def _costs(spark, folder):
@@ -589,6 +643,12 @@ def execution_cost_bands(spark, folder):
     return execution.curve_bands(_costs(spark, folder), TAPE)
 
 
+_final(
+    "execution_cost_bands", ("walk",), _curve_boot("""SELECT "group", instrument, qty, window_id AS e, offset_s AS pos, (buy_ticks + sell_ticks) / 2 AS v FROM walk""", '"group", instrument, qty', TAPE.reps, TAPE.seed + 3),
+    f"""SELECT {R('group', 'instrument', 'qty', **D('mean', 'lo', 'hi'))}, pos AS offset_s, n AS n_events FROM cb_e LEFT JOIN cb_q USING ("group", instrument, qty, pos)""",
+)
+
+
 @query(
     f"""SELECT {R('group', 'instrument', 'qty', 'n_events', 'n_control', **D('normal_ticks', 'first_5s_ticks', 'extra_first_5s_ticks', 'seconds_to_normal', 'max_share_insufficient'))} FROM (SELECT "group", instrument, qty, normal_ticks, n_control, max(n_events) AS n_events,
     avg(mean_ticks) FILTER (offset_s >= 0 AND offset_s < {TAPE.early_s}) AS first_5s_ticks, avg(mean_ticks) FILTER (offset_s >= 0 AND offset_s < {TAPE.early_s}) - normal_ticks AS extra_first_5s_ticks, min(offset_s) FILTER (h = {TAPE.hold} AND offset_s >= 0) AS seconds_to_normal, max(share_insufficient) AS max_share_insufficient
@@ -608,6 +668,14 @@ def _rules(spark, folder):
     return strategy.trades(_coarse(spark, folder), tape.surprises(spark, folder), TAPE)
 
 
+def _definitions(spark):
+    return spark.createDataFrame(list(TICK_USD.items()), "instrument string, tick_usd double")
+
+
+def _backtest(spark, folder):
+    return strategy.backtest(_coarse(spark, folder), tape.surprises(spark, folder), TAPE, _definitions(spark))
+
+
 _RULE = ["event_type", "instrument", "delay_s", "exit_s"]
 
 
@@ -621,7 +689,7 @@ _BT = ["z", "threshold", "sign_mapping", "direction", "gross_ticks", "net_ticks"
 
 @query(f"SELECT {R(*_RULE, 'event_id', 'release_date', 'training_only', **D(*_BT))} FROM backtested", ("backtested",))
 def strategy_trades(spark, folder):
-    return strategy.backtest(_coarse(spark, folder), tape.surprises(spark, folder), TAPE)
+    return _backtest(spark, folder)
 
 
 _SUM = f"""SELECT {', '.join(_RULE)}, count(*) AS events, count(*) FILTER (training_only) AS training_events, count(net_ticks) AS trades, avg(net_ticks) AS mean_net_ticks, avg(CASE WHEN net_ticks > 0 THEN 1.0 WHEN net_ticks IS NOT NULL THEN 0.0 END) AS hit_rate,
@@ -631,22 +699,28 @@ _SD = ["mean_net_ticks", "hit_rate", "worst_net_ticks", "mean_net_usd", "upper_b
 
 @query(f"SELECT {R(*_RULE, 'events', 'training_events', 'trades', **D(*_SD))} FROM ({_SUM})", ("backtested",))
 def strategy_summary(spark, folder):
-    return strategy.summary(strategy.backtest(_coarse(spark, folder), tape.surprises(spark, folder), TAPE))
+    return strategy.summary(_backtest(spark, folder))
 
 
 @query()
 def strategy_summary_intervals(spark, folder):
-    return strategy.summary_with_intervals(strategy.backtest(_coarse(spark, folder), tape.surprises(spark, folder), TAPE), TAPE)
+    return strategy.summary_with_intervals(_backtest(spark, folder), TAPE)
+
+
+_final(
+    "strategy_summary_intervals", ("backtested",), _boot(f"SELECT {', '.join(_RULE)}, event_id AS e, net_ticks AS v FROM backtested", ", ".join(_RULE), "avg", TAPE.reps, 7) + f", sums AS ({_SUM})",
+    f"""SELECT {R(*_RULE, 'events', 'training_events', 'trades', **D(*_SD))}, round(lo, 6) + 0.0 AS ci_lo, round(hi, 6) + 0.0 AS ci_hi FROM sums LEFT JOIN boot_q USING ({', '.join(_RULE)})""",
+)
 
 
 @query(f"SELECT event_type, instrument, delay_s, exit_s, round(mean_net_ticks, 6) + 0.0 AS mean_net_ticks, trades FROM ({_SUM}) WHERE mean_net_ticks IS NOT NULL QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY mean_net_ticks DESC, instrument, delay_s, exit_s) = 1", ("backtested",))
 def best_rules(spark, folder):
-    return strategy.best_rules(strategy.summary(strategy.backtest(_coarse(spark, folder), tape.surprises(spark, folder), TAPE)))
+    return strategy.best_rules(strategy.summary(_backtest(spark, folder)))
 
 
 @query(f"SELECT {', '.join(_RULE)}, event_id, release_date, round(sum(coalesce(net_ticks, 0)) OVER (PARTITION BY {', '.join(_RULE)} ORDER BY release_date, event_id), 6) + 0.0 AS running_net_ticks FROM backtested", ("backtested",))
 def cumulative_pnl(spark, folder):
-    return strategy.cumulative(strategy.backtest(_coarse(spark, folder), tape.surprises(spark, folder), TAPE))
+    return strategy.cumulative(_backtest(spark, folder))
 
 # Small steps of the above, each by itself
 
