@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.functions.chunked import assign_chunks, join_carry
+from tidegrid.functions.chunked import PIECE, assign_chunks
 
 
 def nearest_in_time(
     left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_entity: str, right_entity: str,
-    left_time: str, right_time: str, tolerance: int, least_rows: int = 500_000,
+    left_time: str, right_time: str, tolerance: int, piece: int = PIECE,
 ) -> DataFrame:
     """One row (left_id, right_id, distance) per left row with a right row of its entity at most `tolerance` away: the nearest.
 
@@ -27,10 +27,10 @@ def nearest_in_time(
     both = lefts.withColumns({"hit": F.lit(None).cast(f"struct<t:bigint,rid:{rights.schema['rid'].dataType.simpleString()}>"), "is_left": F.lit(True)}).unionByName(
         rights.select("e", "t", F.lit(None).cast(lefts.schema["lid"].dataType).alias("lid"), F.struct("t", "rid").alias("hit"), F.lit(False).alias("is_left"))
     )
-    chunked = assign_chunks(both, ["e"], "t", least_rows)
+    chunked = assign_chunks(both, ["e"], ["t", "is_left", "lid"], piece)
     carried = chunked.carry({"head": F.min("hit"), "tail": F.max("hit")}, {"c_last": (F.max("tail"), True), "c_next": (F.min("head"), False)})
     kind = both.schema["hit"].dataType.simpleString()
-    rows = join_carry(chunked.df, carried, ["e"], ["c_last", "c_next"], {"c_last": kind, "c_next": kind})
+    rows = chunked.join_carry(carried, ["c_last", "c_next"], {"c_last": kind, "c_next": kind})
     to_here = (Window.unboundedPreceding, 0)
     ahead = chunked.window(F.col("t"), F.col("is_left")).rowsBetween(*to_here)
     behind = chunked.window(F.col("t").desc(), F.col("is_left")).rowsBetween(*to_here)
