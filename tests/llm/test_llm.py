@@ -132,36 +132,69 @@ def test_passages_in_any_guise(spark):
     assert leaked(spark, {}) == set()
 
 
-def test_search_loses_nothing_against_exact_containment():
-    r = random.Random(3)
-    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)]
-    items = [(i, " ".join(r.choice(words) for _ in range(r.choice([40, 60, 80, 110, 150])))) for i in range(30)]
-    index = leakage.build_index(items)
-    ids, starts = [], []
-    for d in range(200):
-        starts.append(len(ids))
-        body = [r.choice(words) for _ in range(r.randint(0, 200))]
-        if d % 2:
+def exact(docs, items):
+    """All pairs, by exact shingle containment over the whole of each document."""
+    known, out = {}, set()
+    rows = []
+    for i, t in items:
+        spaced = [leakage.WORD.findall(w) for w in leakage.plain(t).split()]
+        flat = [x for w in spaced for x in w]
+        rows.append((i, len(spaced), leakage.shingle_codes(leakage.word_codes(flat, known)).tolist(), np.repeat(np.arange(len(spaced)), [len(w) for w in spaced])))
+    for d, t in docs:
+        codes = leakage.shingle_codes(leakage.word_codes(leakage.WORD.findall(leakage.plain(t)), known)).tolist()
+        for i, n, own, word_of in rows:
+            spots = leakage.spots_of(own, [(p, c) for p, c in enumerate(codes) if c in set(own)]) if set(own) & set(codes) else []
+            if spots and leakage.verify(n, word_of, spots, 0.25, 11, 0.5, 16):
+                out.add((i, d))
+    return out
+
+
+@pytest.mark.parametrize(("sizes", "altered"), [((40, 55), 0.1), ((100, 190), 0.15), ((400, 1200), 0.18)])
+def test_search_loses_nothing_against_exact_containment(spark, sizes, altered):
+    r = random.Random(sizes[0])
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(600)]
+    items = [(i, " ".join(r.choice(words) for _ in range(r.randint(*sizes)))) for i in range(30)]
+    docs = []
+    for d in range(150):
+        body = [r.choice(words) for _ in range(r.randint(0, 300))]
+        if d % 3:
             src = items[r.randrange(30)][1].split()
-            n = r.randint(len(src) // 4, len(src))
+            n = r.randint(len(src) // 4, len(src) // 2)
             at = r.randint(0, len(src) - n)
-            cut = [x for x in src[at : at + n] if r.random() > 0.05]
-            body[len(body) // 2 : len(body) // 2] = cut
-        ids += [index.vocabulary.get(x, 0) for x in leakage.WORD.findall(" ".join(body))] + [0] * 64
-    starts = np.array([*starts, len(ids)])
-    ids = np.array(ids)
-    found = set(leakage.search(index, ids, starts, 11, 0.5, 16))
-    codes = leakage.shingle_codes(ids)
-    at = np.flatnonzero(np.isin(codes, index.codes) & (codes >= 0))
-    exact = set()
-    for d in range(200):
-        here = at[(at >= starts[d]) & (at < starts[d + 1])]
-        spots = {}
-        for a in here.tolist():
-            for i, q in index.places[np.searchsorted(index.codes, codes[a])]:
-                spots.setdefault(i, []).append((a, q))
-        exact |= {(d, i) for i, s in spots.items() if leakage.verify(index, i, s, 11, 0.5, 16)}
-    assert len(exact) >= 60 and len(found & exact) >= 0.98 * len(exact) and found <= exact
+            body[len(body) // 2 : len(body) // 2] = [x if r.random() > altered else r.choice(words) for x in src[at : at + n]]
+        docs.append((d, " ".join(body)))
+    want = exact(docs, items)
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(x["item_id"], x["doc_id"]) for x in leakage.leaks(d, i, "doc_id", "text", "item_id", "text").collect()}
+    assert len(want) >= 50 and len(found & want) >= 0.98 * len(want) and found <= want
+
+
+def test_bands_follow_the_size_of_the_items():
+    how = [leakage.banding(p, 0.25, 11, 0.5) for p in range(12)]
+    assert [b.rows for b in how[:5]] == [1, 1, 1, 1, 2] and max(b.rows for b in how) == 3 and len({b.length for b in how}) > 8
+    s = 1 / 3
+    for b, low in zip(how, [44, *leakage.EDGES[1:]]):
+        passage = max(11, low // 4) - 2
+        windows = (passage - b.length + 1) // b.stride
+        assert windows >= 1 and (1 - s**b.rows) ** (b.bands * windows) <= leakage.MISS and b.rows * b.bands <= leakage.HASHES
+    assert [leakage.size_part(n) for n in (5, 55, 56, 767, 768, 1536, 3071, 3072)] == [0, 0, 1, 6, 7, 8, 8, 9]
+
+
+@given(st.integers(1, 60), st.integers(1, 40), st.integers(0, 9))
+@settings(max_examples=100, deadline=None)
+def test_window_minima(n, length, seed):
+    x = np.random.default_rng(seed).integers(0, 1000, (3, n)).astype(np.uint64)
+    starts = np.arange(n)
+    got = leakage.window_mins(x, starts, length)
+    assert (got == np.stack([x[:, s : s + length].min(axis=1) if s + length <= n else got[:, s] for s in starts], axis=1)).all()
+
+
+def test_filter_holds_all_its_keys(spark):
+    keys = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 2000)
+    words = leakage.filter_of(spark.createDataFrame([(int(k),) for k in keys], "k long"), "k", 2000)
+    assert leakage.passes(words, keys.view(np.uint64)).all()
+    others = np.random.default_rng(2).integers(0, 2**63, 100_000).astype(np.uint64)
+    assert leakage.passes(words, others).mean() < 1e-3
 
 
 def best_stretch(spots, word_of, need, density, gap):
@@ -175,26 +208,26 @@ def best_stretch(spots, word_of, need, density, gap):
     return False
 
 
-def test_dense_stretches_of_thin_chains():
+def test_dense_stretches_of_thin_chains(spark):
     item = [f"x{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(80)]
-    index = leakage.build_index([(1, " ".join(item))])
     reworded = item[:20] + [w if k % 14 in (10, 11, 12) else "other" for k, w in enumerate(item[20:])]  # a shingle stands every 14 words
-    for docs, want in [(item[:20], 1), (reworded, 1), (["other"] * 5 + reworded, 1), (reworded[20:], 0), (item[:14] + reworded[20:], 0), (reworded[20:] + ["other"] * 30 + item[40:60], 1)]:
-        ids = np.array([index.vocabulary.get(w, 0) for w in docs] + [0] * 64)
-        assert len(leakage.search(index, ids, np.array([0, len(ids)]), 11, 0.5, 16)) == want
+    docs = [(item[:20], 1), (reworded, 1), (["other"] * 5 + reworded, 1), (reworded[20:], 0), (item[:14] + reworded[20:], 0), (reworded[20:] + ["other"] * 30 + item[40:60], 1)]
+    got = leaked(spark, {k: " ".join(d) for k, (d, _) in enumerate(docs)}, [(1, " ".join(item))])
+    assert got == {(1, k) for k, (_, want) in enumerate(docs) if want}
 
 
 @given(st.lists(st.tuples(st.integers(1, 3), st.integers(-2, 6)), max_size=40), st.sampled_from([0.5, 0.6, 1.0]), st.integers(1, 3))
 @settings(max_examples=200, deadline=None)
 def test_stretches_against_brute_force(steps, density, tokens):
     item = " ".join("-".join(f"w{chr(97 + (k * tokens + t) // 26)}{chr(97 + (k * tokens + t) % 26)}" for t in range(tokens)) for k in range(240 // tokens))
-    index = leakage.build_index([(1, item)])
+    spaced = [leakage.WORD.findall(w) for w in item.split()]
+    word_of = np.repeat(np.arange(len(spaced)), [len(w) for w in spaced])
     spots, a, q = [], 0, 50
     for da, dq in steps:
         a, q = a + da, min(230, max(0, q + dq))
         spots.append((a, q))
-    need = max(11, 0.9 * 0.25 * index.sizes[0])
-    assert leakage.verify(index, 0, spots, 11, density, 16) == best_stretch(spots, index.word_of[0], need, density, 16)
+    need = max(11, 0.9 * 0.25 * len(spaced))
+    assert leakage.verify(len(spaced), word_of, spots, 0.25, 11, density, 16) == best_stretch(spots, word_of, need, density, 16)
 
 
 # Personal details
