@@ -260,6 +260,23 @@ def test_every_spelling_passes_its_precheck(kind, text):
     assert kind in {d[0] for d in sanitise.details(text)}
 
 
+def test_long_addresses_are_whole():
+    local, host = "x" * 150 + ".y", ".".join(["h" * 60] * 6)
+    text = f"write to {local}@{host}.test or {local} at {host.replace('.', ' dot ')} dot test now"
+    assert [x for k, x in sorted(kinds(text), key=lambda x: text.index(x[1]))] == [f"{local}@{host}.test", f"{local} at {host.replace('.', ' dot ')} dot test"]
+    assert kinds("git@forge.host.test:" + "a" * 200 + "/b.git") == set() == kinds("me@forge.host.test:" + "a" * 200 + "/b.git")
+
+
+@given(st.lists(st.sampled_from([
+    "jane", "(at)", "[ at ]", " at ", "mail.example", " dot ", "test", "@", "%40", "SSN", "ni_nr:", "passport no.", "811024-7093", "+49 (0)30 23125 885", "20 rue des Alders", "12 High Street", "Am Markt 5", "Herongasse 70",
+    "FIRST_NAME=", "Anna", ",", "last_name:", "Berg", "Via Roma, 3", "ul. Dluga 4", "\n", " ", "\"", "&#64;", "x40", "Dr. Ann Bo",
+]), max_size=9))
+@settings(max_examples=400, deadline=None)
+def test_quick_looks_change_nothing(parts):
+    text = "".join(parts)
+    assert sanitise.details(text) == sanitise.details(text, quick=False)
+
+
 @pytest.mark.parametrize("text", [
     "git clone git@forge.host.test:a/b.git", "dsn = postgres://svc:pw12@db.host.test:5432/x", "pinned filter@2.8.4", "@route.setter", "reply to <EMAIL> or call [PHONE]", "SSN format is NNN-NN-NNNN, never log it",
     "order no 244356516905 rev 5", "pi is 3.14159 26535, e is 2.71828 18284", "listen 192.0.2.137:8057", "uuid 064d2462-3505-4366-aed7-48a3891448ee", "build 2016-11-24.8", "53 Main Loop iterations, then Close", "Hash Street is the name of a queue", "",
@@ -284,7 +301,7 @@ def test_identity_numbers(text):
 
 
 @pytest.mark.parametrize("text", [
-    "615 Tollgate Rd., Tarn 30595", "Calle Tollgate 43, 72390 Nord Haskel", "172 rue des Alders, 43659 Mor", "Osierstraat 293 bis, 5096 QX Tarn", "Herongasse 70, 95541 Orvain", "Flat 22, 53 Tollgate St, Brin", "20b HARROW CLOSE, NORD HASKEL", "180 W. Bramble Street Ostrel",
+    "615 Tollgate Rd., Tarn 30595", "Calle Tollgate 43, 72390 Nord Haskel", "172 rue des Alders, 43659 Mor", "Osierstraat 293 bis, 5096 QX Tarn", "Herongasse 70, 95541 Orvain", "Flat 22, 53 Tollgate St, Brin", "20b HARROW CLOSE, NORD HASKEL", "180 W. Bramble Street Ostrel", "Am Markt 5", "Unter den Linden 77",
 ])
 def test_street_addresses(text):
     assert [k for k, _ in kinds(f"ship to {text}")] == ["address"]
@@ -332,6 +349,27 @@ def test_placeholders(spark):
     assert sanitise.personal_details(corpus(spark).limit(0), "doc_id", "text").count() == 0
 
 
+def test_lone_telling_words_are_generalised(spark):
+    df = corpus(spark).select("doc_id", "text").unionByName(spark.createDataFrame([(80, "zelvana said: ask Zelvanc, not the parser\n")], "doc_id long, text string"))
+    found = sanitise.personal_details(df, "doc_id", "text", parts=True)
+    out = {r["doc_id"]: r["text"] for r in sanitise.replace_details(df, found, "doc_id", "text").collect()}
+    assert out[80] == "[NAME] said: ask [NAME], not the parser\n"
+    assert sanitise.personal_details(df, "doc_id", "text").filter("doc_id = 80").count() == 0
+    assert found.filter("bits is null").count() == 0
+
+
+def test_large_vocabularies_give_the_same(spark, monkeypatch):
+    want = sorted(map(tuple, sanitise.personal_details(corpus(spark), "doc_id", "text").select("doc_id", "line_no", "kind", "start").collect()))
+    monkeypatch.setattr(sanitise, "MOST_WORDS", 3)
+    assert sorted(map(tuple, sanitise.personal_details(corpus(spark), "doc_id", "text").select("doc_id", "line_no", "kind", "start").collect())) == want
+
+
+def test_terms_that_all_hold_reveal_nothing(spark):
+    docs = [(k, f"report to bugs@lists.host.test\nby k{k}.odd@mail.test\n") for k in range(8)]
+    got = sanitise.personal_details(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text").collect()
+    assert {(r["doc_id"], r["line_no"], r["bits"]) for r in got} == {(k, 2, 3.0) for k in range(8)}
+
+
 def test_overlapping_details_leave_nothing_behind(spark):
     texts = {1: "ask John Michael Smith now", 2: "Contact Jane Smith", 3: "a Jane Smith, b", 4: "JaneSmith x"}
     spans = [(1, 4, 16, "name"), (1, 9, 22, "name"), (2, 0, 12, "name"), (2, 8, 18, "name"), (3, 2, 12, "name"), (3, 2, 6, "email"), (3, 14, 15, "phone"), (4, 0, 4, "name"), (4, 4, 9, "email")]

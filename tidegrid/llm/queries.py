@@ -84,7 +84,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 def p9_sanitised(spark: SparkSession, folder: str) -> DataFrame:
     """The texts with typed placeholders in the place of personal details."""
     documents = table(spark, folder, "documents")
-    found = sanitise.personal_details(documents, "doc_id", "text")
+    found = sanitise.personal_details(documents, "doc_id", "text", parts=True)
     return sanitise.replace_details(documents.select("doc_id", "text"), found, "doc_id", "text")
 
 
