@@ -350,7 +350,7 @@ def test_placeholders(spark):
 
 
 def test_lone_telling_words_are_generalised(spark):
-    df = corpus(spark).select("doc_id", "text").unionByName(spark.createDataFrame([(80, "zelvana said: ask Zelvanc, not the parser\n")], "doc_id long, text string"))
+    df = corpus(spark).select("doc_id", "text").unionByName(spark.createDataFrame([(80, "odile said: ask Odile, not the parser\n")], "doc_id long, text string"))
     found = sanitise.personal_details(df, "doc_id", "text", parts=True)
     out = {r["doc_id"]: r["text"] for r in sanitise.replace_details(df, found, "doc_id", "text").collect()}
     assert out[80] == "[NAME] said: ask [NAME], not the parser\n"
