@@ -85,7 +85,7 @@ def test_differencing_is_near_equal_and_fills_well():
     assert sum(sizes) / (len(windows) * 2048) > 0.95
 
 
-def test_fill_containers(spark):
+def test_fill_containers(spark, monkeypatch):
     rows = [(1, 250, "r"), (2, 0, "r"), (3, 100, "s"), (4, None, "s"), (5, 60, None), (6, 40, "s"), (7, 100, "r")] + [(100 + k, 10, "hot") for k in range(500)]
     df = spark.createDataFrame([(*x, 1) for x in rows], "id long, n long, repo string, piece int")
     out = packing.fill_containers(df, "id", "n", [(1, 100, None), (2, 100, "repo")], block=64).toPandas()
@@ -96,6 +96,10 @@ def test_fill_containers(spark):
         assert p[p.id == 1].sort_values("piece")[["piece", "start", "size"]].values.tolist() == [[0, 0, 100], [1, 100, 100], [2, 200, 50]]
         assert (p[p.id != 1].groupby("id").size() == 1).all()
     repo = {i: g for i, _, g in rows}
+    for few in (0, 10**6):  # the numbers of blocks joined by shuffle or sent to all tasks
+        monkeypatch.setattr("tidegrid.functions.chunked.BROADCAST_ROWS", few)
+        again = packing.fill_containers(df, "id", "n", [(1, 100, None), (2, 100, "repo")], block=64).toPandas()
+        assert sorted(map(tuple, again.values.tolist())) == sorted(map(tuple, out.values.tolist()))
     mixed = out[out.plan_id == 2].assign(repo=lambda d: d.id.map(repo).fillna("none")).groupby("container_id").repo.nunique()
     assert mixed.max() == 1
     assert packing.fill_containers(df.limit(0), "id", "n", [(1, 100, None)]).count() == 0
@@ -355,7 +359,7 @@ def test_lone_telling_words_are_generalised(spark):
     out = {r["doc_id"]: r["text"] for r in sanitise.replace_details(df, found, "doc_id", "text").collect()}
     assert out[80] == "[NAME] said: ask [NAME], not the parser\n"
     assert sanitise.personal_details(df, "doc_id", "text").filter("doc_id = 80").count() == 0
-    assert found.filter("bits is null").count() == 0
+    assert found.filter("bits is null and kind <> 'name'").count() == 0
 
 
 def test_large_vocabularies_give_the_same(spark, monkeypatch):

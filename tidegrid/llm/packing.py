@@ -18,6 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.functions.chunked import lookup
+from tidegrid.functions.shared import cut
+
 #: Ranks of a public byte-level tokenizer, and the pattern by which it splits text (fixed value).
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -58,7 +61,7 @@ def difference(sizes: list[int], windows: int) -> list[list[int]]:
     return out
 
 
-def pack(sizes: list[int], capacity: int, full: float = 0.98, rounds: int = 12) -> list[list[int]]:
+def pack(sizes: list[int], capacity: int, full: float = 0.98) -> list[list[int]]:
     """Windows (lists of indices) of at most `capacity`; no item may be larger.
 
     Differencing starts with the least number of windows that could hold all. Windows filled to `full` and within the capacity
@@ -140,9 +143,10 @@ def fill_containers(items: DataFrame, item_id: str, size: str, plans: list[tuple
         "__id", "plan_id", "capacity", "grp", F.when(fits, 0).otherwise(whole).cast("int").alias("piece"),
         F.when(fits, F.lit(0)).otherwise(F.col("__size") - rest).alias("start"), F.when(fits, F.col("__size")).otherwise(rest).alias("size"),
     )
-    counts = open_.groupBy("plan_id", "grp").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    on = (F.col("l.plan_id") == F.col("r.plan_id")) & F.col("l.grp").eqNullSafe(F.col("r.grp"))
-    open_ = open_.alias("l").join(counts.alias("r"), on).select("l.*", F.pmod(F.xxhash64("l.__id", "l.piece"), F.col("r.blocks")).alias("block"))
+    # Only groups of more than one block need their number of blocks: fewer than one in `block` rows, and never a hot key of the join.
+    counts = cut(open_.groupBy("plan_id", "grp").agg(F.ceil(F.count("*") / block).alias("blocks")).filter("blocks > 1"))
+    open_ = lookup(open_, counts, ["plan_id", "grp"], counts.count())
+    open_ = open_.withColumn("block", F.pmod(F.xxhash64("__id", "piece"), F.coalesce("blocks", F.lit(1).cast("long")))).drop("blocks")
 
     def run(key: tuple, part: pa.Table) -> pa.Table:
         windows = pack(part.column("size").to_pylist(), part.column("capacity")[0].as_py())

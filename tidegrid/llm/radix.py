@@ -12,12 +12,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.functions.chunked import lookup
 from tidegrid.functions.shared import cut
 
 #: Bits of the successive digits; they sum to 64. The first holds sign, exponent and 10 bits of the fraction.
 DIGITS = (22, 21, 21)
-#: Followed buckets up to this many are sent to all tasks, more are joined by shuffle.
-BROADCAST_ROWS = 200_000
 
 
 def order_preserving(x: pd.Series) -> pd.Series:
@@ -104,9 +103,8 @@ def percentiles_of(rows: DataFrame, groups: list[str], wanted: list[float]) -> D
         parent, shift = shift, shift - bits
         follow = cut(follow)
         narrow = follow.select(*keys, "up")
-        if narrow.count() <= BROADCAST_ROWS:
-            narrow = F.broadcast(narrow)
-        inside = _join(rows.withColumn("up", F.shiftright("key", parent)), narrow, [*keys, "up"])
+        # A bucket that holds most rows of a hot group is spread over tasks where the buckets are too many to broadcast.
+        inside = lookup(rows.withColumn("up", F.shiftright("key", parent)), narrow.withColumn("__followed", F.lit(True)), [*keys, "up"], narrow.count(), "inner").drop("__followed")
         hist = inside.groupBy(*keys, "up", F.shiftright("key", shift).alias("bucket")).agg(F.count("*").alias("n"))
         follow = _follow(_join(hist, follow, [*keys, "up"]), keys)
     found = follow.select(*keys, F.explode("wanted").alias("w"), _udf(from_ordered, "double")("up").alias("x")).select(*keys, "w.p", "w.side", "x")
