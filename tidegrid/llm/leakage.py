@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -375,6 +376,27 @@ def spots_of(codes: list[int], found: list[tuple[int, int]]) -> list[tuple[int,
     return [(a, q) for a, c in sorted(set(found)) for q in places.get(c, ())]
 
 
+def shared_spots(spots: pa.ListArray, codes: pa.ListArray, least: float) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """Of a batch of pairs those with at least `least` shared places, with the (position, code) that the item has too; all pairs at once."""
+    n = len(spots)
+    if not n:
+        return
+    flat = spots.flatten()
+    pos, code = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+    owner = np.repeat(np.arange(n), pa.compute.list_value_length(spots).to_numpy(zero_copy_only=False).astype(np.int64))
+    of_item = np.repeat(np.arange(n), pa.compute.list_value_length(codes).to_numpy(zero_copy_only=False).astype(np.int64))
+    pair = np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        mine, theirs = (_mix(c.view(np.uint64) ^ (o.astype(np.uint64) * pair), 13) for c, o in ((code, owner), (codes.flatten().to_numpy(), of_item)))
+    known, times = np.unique(theirs, return_counts=True)
+    at = np.minimum(np.searchsorted(known, mine), max(0, len(known) - 1))
+    hit = known[at] == mine if len(known) else np.zeros(len(mine), bool)
+    enough = np.bincount(owner[hit], weights=times[at[hit]] if len(known) else None, minlength=n) >= least
+    use = np.flatnonzero(hit & enough[owner])
+    for part in np.split(use, np.flatnonzero(np.diff(owner[use])) + 1) if len(use) else ():
+        yield int(owner[part[0]]), list(zip(pos[part].tolist(), code[part].tolist()))
+
+
 def leaks(
     documents: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str,
     share: float = 0.25, least_words: int = 11, density: float = 0.5, gap: int = 16,
@@ -417,9 +439,10 @@ def leaks(
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for i, r in enumerate(b.select(["spots", "words", "codes", "word_of"]).to_pylist()):
-                spots = spots_of(r["codes"], [(x["pos"], x["code"]) for x in r["spots"]])
-                if verify(r["words"], np.array(r["word_of"]), spots, share, least_words, density, gap):
+            codes, words = b.column(b.schema.get_field_index("codes")), b.column(b.schema.get_field_index("words")).to_pylist()
+            word_of = b.column(b.schema.get_field_index("word_of"))
+            for i, own in shared_spots(b.column(b.schema.get_field_index("spots")), codes, density * (least_words - SHINGLE + 1)):
+                if verify(words[i], word_of[i].values.to_numpy(), spots_of(codes[i].values.to_pylist(), own), share, least_words, density, gap):
                     keep.append(i)
             yield b.select(names).take(pa.array(keep, pa.int64()))
 
