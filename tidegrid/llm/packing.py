@@ -149,6 +149,7 @@ def fill_containers(items: DataFrame, item_id: str, size: str, plans: list[tuple
     open_ = open_.withColumn("block", F.pmod(F.xxhash64("__id", "piece"), F.coalesce("blocks", F.lit(1).cast("long")))).drop("blocks")
 
     def run(key: tuple, part: pa.Table) -> pa.Table:
+        part = part.sort_by([("__id", "ascending"), ("piece", "ascending")])  # the same containers however the rows came
         windows = pack(part.column("size").to_pylist(), part.column("capacity")[0].as_py())
         which = np.empty(part.num_rows, np.int64)
         for k, w in enumerate(windows):
