@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.config import TAPE
-from tidegrid.functions.shared import cut
+from tidegrid.functions.shared import cut, shared_folder
 from tidegrid.operators import execution, liquidity, panel, reaction, regression, stats, strategy
 from tidegrid.sources import tape
+from tidegrid.store import build_panels, read_part, session_table
 
 COARSE, FINE = TAPE.coarse.grid("coarse"), TAPE.fine.grid("fine")
 SQL: dict[str, str] = {}
@@ -185,18 +186,26 @@ def _ticks(spark, folder):
     return tape.ticks(spark, folder)
 
 
-def _coarse(spark: SparkSession, folder: str) -> DataFrame:
+def coarse_of_tape(spark: SparkSession, folder: str) -> DataFrame:
     return panel.panel(tape.ticks(spark, folder), tape.stages(spark, folder), COARSE)
 
 
-def _fine(spark: SparkSession, folder: str) -> DataFrame:
+def fine_of_tape(spark: SparkSession, folder: str) -> DataFrame:
     return panel.panel(tape.ticks(spark, folder), tape.stages(spark, folder), FINE)
 
 
-def _moves(spark: SparkSession, folder: str) -> DataFrame:
+def moves_of_tape(spark: SparkSession, folder: str) -> DataFrame:
     return panel.mid_changes(tape.ticks(spark, folder), tape.stages(spark, folder), TAPE.moves_s)
 
 
+def _stored(name: str, make):
+    """The analyses read panels from the store; it is written by the first that needs it."""
+    return lambda spark, folder: session_table(spark, [f"{folder}/events.parquet"], name, lambda: make(spark, folder))
+
+
+_coarse, _fine, _moves = _stored("coarse", coarse_of_tape), _stored("fine", fine_of_tape), _stored("moves", moves_of_tape)
+
+
 def _liq(spark: SparkSession, folder: str) -> DataFrame:
     c = _coarse(spark, folder)
     return liquidity.with_baselines(c, panel.baselines(c, TAPE.baseline_s))
@@ -229,7 +238,7 @@ def tape_stages(spark, folder):
     return tape.stages(spark, folder)
 
 
-for _name, _f in (("coarse", _coarse), ("fine", _fine)):
+for _name, _f in (("coarse", coarse_of_tape), ("fine", fine_of_tape)):
     QUERIES[f"asof_panel_{_name}"] = lambda spark, folder, f=_f: rounded(f(spark, folder))
     SQL[f"asof_panel_{_name}"] = with_steps(f"SELECT {R(*_KEYS, 'offset_ms', *_TOUCH, *_DEPTHS, *_COUNTS, **D('mid', 'mid_move'))} FROM {_name}", (_name,))
 
@@ -241,7 +250,7 @@ def interval_counts(spark, folder):
 
 @query(f"SELECT {R(*_KEYS, 'offset_ns', **D('mid_move'))} FROM moves", ("moves",))
 def mid_changes(spark, folder):
-    return _moves(spark, folder)
+    return moves_of_tape(spark, folder)
 
 
 _BARS = """bars AS (SELECT window_id, instrument, ts_event // 300000000000 * 300000000000 AS ts_event, arg_max(price, seq_ts) AS close, CAST(sum(size) AS BIGINT) AS volume FROM (SELECT *, ts_event AS seq_ts FROM ticks) GROUP BY ALL),
@@ -271,6 +280,19 @@ def baselines_median(spark, folder):
     return panel.baselines(_coarse(spark, folder), TAPE.baseline_s)
 
 
+@query(f"""SELECT c.window_id, c.stage, c.instrument, c.offset_ms, c.depth_1, round(b.base_depth_1, 6) AS base_depth_1, round(c.mid, 6) AS mid, m.moves FROM coarse c JOIN base b USING (window_id, event_type, stage, instrument)
+LEFT JOIN (SELECT window_id, stage, instrument, count(*) AS moves FROM moves GROUP BY ALL) m ON m.window_id = c.window_id AND m.stage = c.stage AND m.instrument = c.instrument WHERE c.event_type = 'CPI' AND c.instrument = 'click'""", ("base", "moves"))
+def panel_store_roundtrip(spark, folder):
+    """The whole build job written to a store, and one event type and instrument read back from it, pruned."""
+    path = shared_folder(spark, "store")
+    build_panels(spark, tape.ticks(spark, folder), tape.stages(spark, folder), TAPE, path, {"folder": folder})
+    parts = {p: read_part(spark, path, p).filter("event_type = 'CPI' and instrument = 'click'") for p in ("coarse", "baselines", "moves")}
+    keys = ["window_id", "stage", "instrument"]
+    moves = parts["moves"].groupBy(*keys).agg(F.count("*").alias("moves"))
+    out = parts["coarse"].join(parts["baselines"].select(*keys, "base_depth_1"), keys).join(moves, keys, "left")
+    return out.select(*keys, "offset_ms", "depth_1", "base_depth_1", "mid", "moves")
+
+
 _RATIO = f"""SELECT window_id, event_type, stage, time_et, instrument, CASE WHEN quiet = 0 THEN CASE WHEN spike > 0 THEN CAST('inf' AS DOUBLE) END ELSE spike / quiet END AS ratio FROM (SELECT window_id, event_type, stage, time_et, instrument,
     avg(m) FILTER (offset_ms > {TAPE.quiet_s[0] * 1000} AND offset_ms <= {TAPE.quiet_s[1] * 1000}) AS quiet, avg(m) FILTER (offset_ms > {TAPE.spike_s[0] * 1000} AND offset_ms <= {TAPE.spike_s[1] * 1000}) AS spike
     FROM (SELECT *, abs(mid - lag(mid) OVER (PARTITION BY window_id, stage, instrument ORDER BY offset_ms)) AS m FROM coarse) GROUP BY ALL)"""

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import json
+import dataclasses
 import os
+import subprocess
 import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidegrid.sources.files import delete, exists, read_json, write_json
 from tidegrid.schema import ADD, ASK, BID, CANCEL, CLEAR, FILL, MODIFY, NONE, TRADE, UNDEFINED_PRICE
 
 # The vendor's letters.
@@ -52,27 +55,44 @@ class IncompleteTableError(RuntimeError):
     """A table without its manifest: the run that wrote it did not end."""
 
 
+def run_info(command: str, settings: object) -> dict:
+    """What a manifest says of the run: command, time, the code's version (if it is a git checkout) and all settings."""
+    here = os.path.dirname(os.path.abspath(__file__))
+    try:
+        version = subprocess.run(["git", "-C", here, "rev-parse", "HEAD"], capture_output=True, text=True, timeout=10).stdout.strip() or None
+    except OSError:
+        version = None
+    return {"command": command, "written_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "version": version, "settings": dataclasses.asdict(settings) if dataclasses.is_dataclass(settings) else settings}
+
+
 def write_with_manifest(df: DataFrame, path: str, info: dict, partition: list[str] | None = None) -> None:
-    """Overwrite a table, its manifest last: a table is whole if and only if the manifest is there."""
-    marker = path.rstrip("/") + ".manifest.json"
-    if os.path.exists(marker):
-        os.remove(marker)
+    """Overwrite a table, its manifest last: a table is whole if and only if the manifest is there. Any file system of the cluster."""
+    spark, marker = df.sparkSession, path.rstrip("/") + ".manifest.json"
+    delete(spark, marker)
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition) if partition else writer).parquet(path)
-    with open(marker, "w") as f:
-        json.dump({"written_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "schema": df.schema.jsonValue(), **info}, f, indent=2, default=str)
+    write_json(spark, marker, {"written_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "schema": df.schema.jsonValue(), **info})
 
 
 def read_with_manifest(spark: SparkSession, path: str) -> DataFrame:
-    if not os.path.exists(path):
+    """The table, with the columns and types it was written with."""
+    if not exists(spark, path):
         raise FileNotFoundError(path)
-    if not os.path.exists(path.rstrip("/") + ".manifest.json"):
+    marker = path.rstrip("/") + ".manifest.json"
+    if not exists(spark, marker):
         raise IncompleteTableError(path)
-    return spark.read.parquet(path)
+    schema = T.StructType.fromJson(read_json(spark, marker)["schema"])
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
 def text_table(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """A CSV file with all columns as text, for validation before typing."""
+    """A CSV file with all columns as text, for validation before typing; a file without its header's columns is an error."""
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
+    head = spark.read.text(path).limit(1).collect()
+    have = [c.strip().strip('"') for c in head[0][0].lstrip("\ufeff").split(",")] if head else []
+    if lacking := [c for c in columns if c not in have]:
+        raise ValueError(f"{path}: " + ("the file is empty" if not head else "missing columns " + ", ".join(lacking)))
     return spark.read.schema(", ".join(f"`{c}` string" for c in columns)).option("header", True).option("enforceSchema", False).csv(path)
 
 
