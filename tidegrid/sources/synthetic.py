@@ -38,6 +38,8 @@ def books(spark: SparkSession, events: DataFrame, instruments: DataFrame, start_
     Updates come at `rate` a second on average, more after the move; prices walk by whole ticks.
     """
     p = planted
+    # A window of several stages reacts to the first.
+    events = events.groupBy("window_id").agg(F.min_by(F.struct("t0_ns", "z", "effect"), "t0_ns").alias("e")).select("window_id", "e.*")
     top = F.ceil(F.col("rate") * F.when(F.col("effect"), p.activity).otherwise(1.0))
     seconds = events.join(F.broadcast(instruments)).select("*", F.explode(F.sequence(F.lit(start_s), F.lit(end_s - 1))).alias("sec"))
     slots = seconds.select("*", F.explode(F.sequence(F.lit(0), (top - 1).cast("int"))).alias("slot"), top.alias("top"))
@@ -65,14 +67,17 @@ def books(spark: SparkSession, events: DataFrame, instruments: DataFrame, start_
     )
 
 
-def study_calendar(spark: SparkSession, per_type: int, controls: int, first: str = "2025-01-06", seed: int = 1) -> DataFrame:
-    """Weekly releases (CPI on Wednesdays, NFP on Fridays) and controls on Tuesdays at 08:30: window_id, event_type, stage, time_et, t0_ns, z, effect."""
+def study_calendar(spark: SparkSession, per_type: int, controls: int, first: str = "2025-01-06", seed: int = 1, fomc: int = 0) -> DataFrame:
+    """Weekly releases (CPI on Wednesdays, NFP on Fridays), meetings every third Wednesday, controls on Tuesdays at 08:30 and, if there are
+    meetings, on Thursdays at 14:00: window_id, event_type, stage, time_et, t0_ns, z, effect. A meeting has two stages, and so has a control at its time."""
     from tidegrid.functions.clock import et_to_utc_ns
 
-    plan = [("CPI", 2, per_type), ("NFP", 4, per_type), ("CONTROL", 1, controls)]
-    rows = spark.createDataFrame(plan, "event_type string, weekday int, n int").select("event_type", "weekday", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("week"))
-    day = F.date_add(F.lit(first).cast("date"), F.col("week") * 7 + F.col("weekday"))
-    d = rows.withColumn("day", day).withColumn("time_et", F.lit("08:30"))
+    one, two = [("release", "08:30")], [("statement", "14:00"), ("press_conference", "14:30")]
+    plan = [("CPI", 2, 1, per_type, one), ("NFP", 4, 1, per_type, one), ("CONTROL", 1, 1, controls, [("control", "08:30")])]
+    plan += [("FOMC", 2, 3, fomc, two), ("CONTROL", 3, 1, controls, [("control", "14:00"), ("control_1430", "14:30")])] if fomc else []
+    kinds = "event_type string, weekday int, every int, n int, stages array<struct<stage: string, time_et: string>>"
+    rows = spark.createDataFrame([p for p in plan if p[3] > 0], kinds).select("event_type", "weekday", "every", "stages", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("week"))
+    d = rows.withColumn("day", F.date_add(F.lit(first).cast("date"), F.col("week") * 7 * F.col("every") + F.col("weekday"))).select("*", F.explode("stages").alias("s")).select("event_type", "week", "day", "s.*")
     control = F.col("event_type") == "CONTROL"
     z = F.round((uniform(seed, F.col("event_type"), F.col("week")) - 0.5) * 4, 2)
-    return d.select(F.concat_ws("_", "event_type", F.date_format("day", "yyyy-MM-dd")).alias("window_id"), "event_type", F.when(control, "control").otherwise("release").alias("stage"), "time_et", et_to_utc_ns(F.col("day"), F.col("time_et")).alias("t0_ns"), F.when(control, 0.0).otherwise(z).alias("z"), (~control).alias("effect"))
+    return d.select(F.concat_ws("_", "event_type", F.date_format("day", "yyyy-MM-dd")).alias("window_id"), "event_type", "stage", "time_et", et_to_utc_ns(F.col("day"), F.col("time_et")).alias("t0_ns"), F.when(control, 0.0).otherwise(z).alias("z"), (~control).alias("effect"))
