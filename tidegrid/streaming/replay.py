@@ -6,6 +6,7 @@ import time
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -74,21 +75,31 @@ def live_states(stream: DataFrame, ctx: DataFrame) -> DataFrame:
 
 def _advance(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     updates, spread, depth, move, last, trades = state.get if state.exists else (0, None, None, None, None, [])
-    trades, rows = list(trades), []
-    for r in pd.concat(list(parts)).sort_values(["ts_event", "seq"]).itertuples(index=False):
-        updates, last, depth = updates + 1, int(r.ts_event), int(r.bid_sz_0 + r.ask_sz_0)
-        if pd.notna(r.bid_px_0) and pd.notna(r.ask_px_0):
-            spread = int(r.ask_px_0 - r.bid_px_0)
-            move = (r.bid_px_0 + r.ask_px_0) / 2 - r.pre_mid if pd.notna(r.pre_mid) else None
-        if r.action in (3, 4):
-            trades.append(last)
-        trades = [t for t in trades if t > last - NS]
-        pct = 100.0 * depth / r.base_depth if pd.notna(r.base_depth) and r.base_depth else None
-        rows.append((key[0], int(r.seq), last, spread, depth, pct, move, len(trades), updates))
-    state.update((updates, spread, depth, move, last, trades))
-    columns = [c.split()[0] for c in OUTPUT.split(", ")]
-    out = pd.DataFrame(rows, columns=columns)
-    yield out.astype({"spread": "Int64"})
+    p = pd.concat(list(parts)).sort_values(["ts_event", "seq"], ignore_index=True)
+    at, bid, ask = p["ts_event"].to_numpy(np.int64), p["bid_px_0"].astype("float64"), p["ask_px_0"].astype("float64")
+    spreads = (ask - bid).ffill().fillna(np.nan if spread is None else spread)
+    moves = ((bid + ask) / 2 - p["pre_mid"].astype("float64")).ffill().fillna(np.nan if move is None else move)
+    depths = (p["bid_sz_0"] + p["ask_sz_0"]).astype("int64")
+    traded = p["action"].isin((3, 4)).to_numpy()
+    # Trades up to each update, less those that are a second old by then.
+    every = np.sort(np.concatenate((np.array(list(trades), np.int64), at[traded])))
+    recent = len(trades) + np.cumsum(traded) - np.searchsorted(every, at - NS, side="right")
+    base = p["base_depth"].astype("float64")
+    out = pd.DataFrame({
+        "instrument": key[0], "seq": p["seq"].astype("int64"), "ts_event": at, "spread": spreads.astype("Int64"), "depth": depths, "depth_pct": (100.0 * depths / base.where(base != 0)), "mid_move": moves,
+        "trades_1s": recent.astype("int64"), "updates": updates + np.arange(1, len(p) + 1),
+    }).replace({np.nan: None})
+    out["spread"] = out["spread"].astype("Int64")
+    end = int(at.max()) if last is None else max(int(at.max()), last)
+    known = (lambda x: None if pd.isna(x) else x)
+    s = known(spreads.iloc[-1])
+    state.update((updates + len(p), None if s is None else int(s), int(depths.iloc[-1]), known(moves.iloc[-1]), end, [int(t) for t in every[every > end - NS]]))
+    yield out
+
+
+def silences(latest: DataFrame, now_ns: int, silence_s: int = 5) -> DataFrame:
+    """Instruments without an update for longer than silence_s by the clock of the replay, whether or not data comes again: instrument, alert."""
+    return latest.filter(F.lit(now_ns) - F.col("ts_event") > silence_s * NS).select("instrument", F.lit("no data").alias("alert"))
 
 
 def update_rates(ticks: DataFrame, keys: list[str], span: str, late: str | None = None) -> DataFrame:
@@ -109,7 +120,8 @@ class PacedReader(SimpleDataSourceStreamReader):
         self.speed = float(options.get("speed", "1"))
         if self.speed <= 0:
             raise ValueError("speed must be positive")
-        self.rows = pq.read_table(options["path"], columns=self.names).sort_by([("ts_event", "ascending")])
+        path = options["path"].removeprefix("file:")
+        self.rows = pq.read_table(path, columns=self.names).sort_by([("ts_event", "ascending")])
         self.times = self.rows.column("ts_event").to_numpy()
         self.began = time.time()
 
@@ -148,6 +160,30 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(PacedSource)
 
 
+class MetricsSink:
+    """A foreachBatch sink: the latest state of each instrument, the count of updates and the clock, as text in a file for scraping.
+
+    Alerts of the latest states go there too, silence by the time of the batch included.
+    """
+
+    def __init__(self, path: str | None, silence_s: int = 5):
+        self.path, self.silence_s, self.updates = path, silence_s, 0
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        latest = batch.groupBy("instrument").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "instrument"]), F.struct("ts_event", "seq")).alias("r"), F.count("*").alias("n")).select("instrument", "r.*", "n")
+        rows = latest.limit(10_000).collect()  # one row an instrument
+        if not rows:
+            return
+        self.updates += sum(r["n"] for r in rows)
+        now = max(r["ts_event"] for r in rows)
+        quiet = {r["instrument"] for r in rows if now - r["ts_event"] > self.silence_s * NS}
+        if self.path:
+            from tidegrid.sources.files import write_text
+
+            alerts = "".join(f'replay_no_data{{instrument="{i}"}} 1\n' for i in sorted(quiet))
+            write_text(batch.sparkSession, self.path, exposition(rows) + f"replay_updates_total {self.updates}\nreplay_clock_ns {now}\n" + alerts)
+
+
 def exposition(rows: list, prefix: str = "replay") -> str:
     """Text exposition of the latest state of each instrument, for scraping."""
     out = []
