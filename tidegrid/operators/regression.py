@@ -126,6 +126,14 @@ def standardised(df: DataFrame, expanding: bool = False, order: str = "release_d
     return d.join(scale, "variable", "left").withColumn("z", F.when(F.col("__sd") > least, F.col("surprise") / F.col("__sd"))).drop("__sd")
 
 
+def raw_surprises(entries: DataFrame) -> DataFrame:
+    """Unscaled surprises of the primary variable of each event: event_id, event_type, release_date, surprise, z (per standard deviation)."""
+    from tidegrid.operators.calendar import VARIABLES
+
+    primary = entries.filter(F.col("variable").isin([k for k, v in VARIABLES.items() if v[2]]) & F.col("actual").isNotNull() & F.col("consensus").isNotNull())
+    return standardised(primary).select("event_id", "event_type", "release_date", "surprise", "z")
+
+
 def surprise_summary(z: DataFrame) -> DataFrame:
     return z.groupBy("event_type", "variable").agg(
         F.count("*").alias("events"), F.avg("surprise").alias("mean_surprise"), F.stddev_samp("surprise").alias("sd_surprise"), F.min("surprise").alias("min_surprise"),
