@@ -96,6 +96,66 @@ def test_command_line(spark, data, tmp_path, capsys):
     assert records.read_with_manifest(spark, str(tmp_path / "o")).count() > 0
 
 
+def test_study_from_the_command_line(spark, tmp_path, capsys):
+    """Synthetic books to panels, all analyses, report and replay; and what is refused."""
+    data = ["--data", str(tmp_path / "d"), "--set", "reps=20"]
+    assert main([*data, "analyze", "liquidity"]) == 2
+    assert main([*data, "synth", "--events", "3", "--controls", "3", "--fomc", "1"]) == 0
+    assert main([*data, "analyze", "liquidity"]) == 2  # no panels yet
+    assert main([*data, "panel", "build"]) == 0 and "events are confirmed" in capsys.readouterr().out
+    assert main([*data, "analyze", "all"]) == 0
+    out = capsys.readouterr().out
+    assert "depth falls to a median" in out and "moves first" in out and "tests survive" in out and "more than normal" in out
+    assert main([*data, "report", "--out", str(tmp_path / "r.md")]) == 0
+    text = (tmp_path / "r.md").read_text()
+    assert all(f"## {n}" in text for n in ("Liquidity", "Reaction", "Regression", "Execution", "Strategy", "Validation")) and "synthetic" in text
+    assert main([*data, "replay", "--fast", "--start", "-20", "--end", "20", "--metrics", str(tmp_path / "m")]) == 0
+    assert "replay_updates_total" in (tmp_path / "m").read_text() and main([*data, "replay", "--speed", "0"]) == 2 == main([*data, "replay", "--window", "none"])
+    assert main(["--set", "nope=1", *data, "panel", "build"]) == 2
+
+
+def test_calendar_and_costs_from_the_command_line(spark, tmp_path, capsys):
+    d = tmp_path / "d"
+    data = ["--data", str(d)]
+    assert main([*data, "calendar", "validate"]) == 0 and main([*data, "calendar", "template"]) == 0
+    (d / "meetings.csv").write_text("date,statement_time_et,press_conference_time_et,source_url\n2024-05-01,14:00,14:30,https://x.y\n2024-05-04,2 pm,,no\n")
+    assert main([*data, "calendar", "validate"]) == 1 and "weekend" in capsys.readouterr().out
+    (d / "meetings.csv").write_text("date,statement_time_et,press_conference_time_et,source_url\n2024-05-01,14:00,14:30,https://x.y\n")
+    (d / "releases.csv").write_text("event_type,tier,date,time_et,source\nCPI,1,2024-05-15,08:30,s\nCPI,1,2024-06-12,08:30,s\n")
+    assert main([*data, "calendar", "build"]) == 0
+    assert main([*data, "data", "controls", "08:30=4", "--first", "2024-05-01", "--last", "2024-06-30"]) == 2  # no second tier
+    (d / "releases.csv").write_text((d / "releases.csv").read_text() + "PPI,2,2024-05-14,08:30,s\n")
+    assert main([*data, "calendar", "build"]) == 0 and main([*data, "data", "controls", "08:30=4", "--first", "2024-05-01", "--last", "2024-06-30"]) == 0
+    assert spark.read.option("header", True).csv(str(d / "controls.csv")).count() == 4
+    (d / "quotes.csv").write_text("instrument,feed_schema,window_id,seconds,cost_usd\nZN,mbp-1,CPI_2024-05-15,100,1\nZN,mbp-1,CPI_2024-06-12,300,2\nES,mbp-1,CPI_2024-05-15,100,2\n")
+    (d / "instruments.csv").write_text("instrument,deep,core\nZN,true,true\nES,false,false\n")
+    (d / "schemas.csv").write_text("feed_schema,lo_s,hi_s,short_lo_s,short_hi_s,deep\nmbp-1,-100,100,-50,50,false\n")
+    capsys.readouterr()
+    assert main([*data, "data", "plan-costs", "--budget", "20", "--fewer", "2"]) == 0
+    # 3 events and 4 controls of 200 s (the meeting 1,800 s more), ZN at 3 / 400 USD a second, ES at twice that.
+    out = capsys.readouterr().out
+    assert f"| full plan | {3 * 0.0075 * (7 * 200 + 1800):.2f} |" in out and f"| all three trims | {0.0075 * (5 * 100 + 1800):.2f} | True |" in out
+    assert main([*data, "data", "download", "--budget", "20"]) == 0 and "dry run" in capsys.readouterr().out
+    assert main([*data, "data", "download", "--budget", "20", "--yes"]) == 0 and main([*data, "data", "download", "--budget", "20"]) == 0
+    assert "cached" in capsys.readouterr().out
+
+
+def test_only_sound_windows_and_agreed_ticks_pass(spark):
+    from tidegrid.sources import provider
+
+    s, t0 = 10**9, 10**18
+    rows = [(w, "ZN", k, t0 + (k - 60) * s, 2, 1, 102 if w == "bad" and k == 5 else 100, 101, 1, 1) for w in ("good", "bad") for k in range(180)]
+    ticks = spark.createDataFrame(rows, "window_id string, instrument string, seq long, ts_event long, action int, size long, bid_px_0 long, ask_px_0 long, bid_sz_0 long, ask_sz_0 long")
+    stages = spark.createDataFrame([("good", t0), ("bad", t0)], "window_id string, t0_ns long")
+    out = provider.gate(provider.Books(ticks, stages), 60, 120)
+    assert {r["window_id"] for r in out.ticks.select("window_id").distinct().collect()} == {"good"}
+    assert {(r["window_id"], r["status"]) for r in out.report.collect()} == {("good", "ok"), ("bad", "reject")}
+    d = spark.createDataFrame([("ZN", 1 / 64)], "instrument string, tick_size double")
+    provider.check_tick_sizes(d, {"ZN": 1 / 64})
+    with pytest.raises(ValueError, match="ZN"):
+        provider.check_tick_sizes(d, {"ZN": 1 / 32})
+
+
 def test_entry(spark, data):
     import __spark_entry__ as e
 
