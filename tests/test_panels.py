@@ -1,3 +1,4 @@
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -78,3 +79,17 @@ def test_columns_that_clash(spark):
     df = book(spark, [(0, 2, 1, 1, 100, 101, 5, 5)]).withColumn("event_type_x", F.lit("t")).withColumn("cell", F.lit(3))
     assert panel(df, stages(spark), Grid("g", 0, S, S, 1 << 62)).count() == 2
     assert panel(df.limit(0), stages(spark), Grid("g", 0, S, S, 1 << 62)).count() == 0
+
+
+@pytest.mark.parametrize("piece", [8, 500_000])
+def test_running_sums(spark, piece):
+    from tidegrid.functions.previous import running
+
+    rows = [("h" if k % 5 else None, k // 3, k, None if k % 7 == 0 else float(k)) for k in range(60)]
+    df = spark.createDataFrame(rows, "g string, t int, k int, v double")
+    for keys in (["g"], []):
+        for before in (False, True):
+            got = {r["k"]: r["s"] for r in running(df, keys, ["t", "k"], {"s": F.col("v")}, before, piece).collect()}
+            for g, t, k, _ in rows:
+                past = [v for h, u, j, v in rows if (not keys or h == g) and ((u, j) < (t, k) if before else (u, j) <= (t, k)) and v is not None]
+                assert got[k] == (sum(past) if past else None)

@@ -96,11 +96,12 @@ def test_command_line(spark, data, tmp_path, capsys):
     assert records.read_with_manifest(spark, str(tmp_path / "o")).count() > 0
 
 
-def test_study_from_the_command_line(spark, tmp_path, capsys):
+def test_study_from_the_command_line(spark, tmp_path, capsys, monkeypatch):
     """Synthetic books to panels, all analyses, report and replay; and what is refused."""
+    monkeypatch.setattr("tidegrid.sources.provider.MADE_UP", [("ZN", 2.0, 7168, 900.0, 0.15, 0.05, -4.0, 0), ("ZT", 2.0, 6600, 1200.0, 0.15, 0.03, -2.0, 2)])
     data = ["--data", str(tmp_path / "d"), "--set", "reps=20"]
     assert main([*data, "analyze", "liquidity"]) == 2
-    assert main([*data, "synth", "--events", "3", "--controls", "3", "--fomc", "1"]) == 0
+    assert main([*data, "synth", "--events", "3", "--controls", "2", "--fomc", "1"]) == 0
     assert main([*data, "analyze", "liquidity"]) == 2  # no panels yet
     assert main([*data, "panel", "build"]) == 0 and "events are confirmed" in capsys.readouterr().out
     assert main([*data, "analyze", "all"]) == 0

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegrid.functions.chunked import PIECE
+from tidegrid.functions.previous import running
+
 NS = 10**9
 DAY = 86_400 * NS
 
@@ -96,7 +99,7 @@ def purchases(wanted: DataFrame, cached: DataFrame, rates: DataFrame, budget: fl
     keys = ["instrument", "feed_schema", "window_id"]
     d = wanted.join(cached.select(*keys).distinct().withColumn("__have", F.lit(True)), keys, "left").join(F.broadcast(rates), ["feed_schema", "instrument"], "left")
     cost = F.when(F.col("__have"), 0.0).otherwise(F.coalesce("usd_per_s", F.lit(0.0)) * (F.col("end_ns") - F.col("start_ns")) / NS)
-    d = within_budget(d.withColumn("cost_usd", cost), [], [F.col("start_ns"), *[F.col(k) for k in keys]], "cost_usd", budget - spent)
+    d = within_budget(d.withColumn("cost_usd", cost), [], ["start_ns", *keys], "cost_usd", budget - spent)
     action = F.when(F.col("__have"), "cached").when(F.col("allowed"), "buy").otherwise("over budget")
     return d.select(*keys, "start_ns", "end_ns", "cost_usd", (F.col("spent") + spent).alias("spent"), action.alias("action"))
 
@@ -105,7 +108,6 @@ def options_table(detail: DataFrame, budget: float) -> DataFrame:
     return detail.groupBy("option").agg(F.round(F.sum("cost_usd"), 2).alias("cost_usd")).withColumn("fits_budget", F.col("cost_usd") <= budget)
 
 
-def within_budget(df: DataFrame, group: list[str], order: list[Column], cost: str, budget: float) -> DataFrame:
+def within_budget(df: DataFrame, group: list[str], order: list[str], cost: str, budget: float, piece: int = PIECE) -> DataFrame:
     """Purchases in order with the running sum spent, and whether it is still within the budget."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("spent", F.sum(cost).over(w)).withColumn("allowed", F.col("spent") <= budget)
+    return running(df, group, order, {"spent": F.col(cost)}, piece=piece).withColumn("allowed", F.col("spent") <= budget)

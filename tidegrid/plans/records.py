@@ -305,15 +305,48 @@ def request_plan(spark, folder):
     return costplan.requests(_windows(spark, folder), instruments, spark.createDataFrame(_SCHEMAS, "feed_schema string, lo_s long, hi_s long, deep boolean"))
 
 
-@query(f"""WITH {_W}, o AS (SELECT * FROM (VALUES ('full plan', 'mbp-1', 'ZN', -1800, 3600, 1), ('full plan', 'mbp-1', 'GC', -1800, 3600, 1), ('core instruments only', 'mbp-1', 'ZN', -1800, 3600, 1), ('shorter window', 'mbp-1', 'ZN', -600, 1800, 1), ('no controls', 'mbp-1', 'ZN', -1800, 3600, 0)) x(option, feed_schema, instrument, lo, hi, ctl)),
-c AS (SELECT option, sum(((z - a) / 1e9 + hi - lo) * CASE instrument WHEN 'ZN' THEN 0.00001 ELSE 0.000004 END) AS usd FROM o, w WHERE kind <> 'CONTROL' OR ctl = 1 GROUP BY ALL) SELECT option, round(usd, 2) AS cost_usd, round(usd, 2) <= 20 AS fits_budget FROM c""")
+#: Parameters of the cost plan: instruments (deep, core), windows by schema with their short forms, and quotes of sample windows.
+_INSTRUMENTS = [("ZN", True, True), ("ES", True, False), ("GC", False, False)]
+_PLAN_SCHEMAS = [("ohlcv-1s", -7200, 14400, None, None, False), ("mbp-1", -1800, 3600, -600, 1800, False), ("mbp-10", -300, 900, None, None, True)]
+_QUOTES = [("ZN", "ohlcv-1s", "s1", 21600.0, 0.02), ("ZN", "ohlcv-1s", "s2", 21600.0, 0.025), ("ES", "ohlcv-1s", "s1", 21600.0, 0.04), ("GC", "ohlcv-1s", "s1", 21600.0, 0.01), ("ZN", "mbp-1", "s1", 5400.0, 0.05), ("ZN", "mbp-1", "s2", 5400.0, 0.06), ("ES", "mbp-1", "s1", 5400.0, 0.075), ("GC", "mbp-1", "s1", 5400.0, 0.02), ("ZN", "mbp-10", "s1", 1200.0, 0.0), ("ES", "mbp-10", "s1", 1200.0, 0.3), ("ZN", "mbp-10", "s2", 1200.0, 0.2)]
+_FEWER = 3
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join("NULL" if v is None else repr(v) if not isinstance(v, bool) else str(v).lower() for v in r) + ")" for r in rows)
+
+
+_COST = f"""{_W}, q(instrument, feed_schema, window_id, seconds, cost) AS (VALUES {_values(_QUOTES)}), i(instrument, deep, core) AS (VALUES {_values(_INSTRUMENTS)}), s(feed_schema, lo, hi, slo, shi, nd) AS (VALUES {_values(_PLAN_SCHEMAS)}),
+own AS (SELECT feed_schema, CAST(sum(cost) AS DOUBLE) / sum(seconds) AS rate FROM q WHERE instrument = 'ZN' GROUP BY ALL),
+rates AS (SELECT feed_schema, 'ZN' AS instrument, rate FROM own UNION ALL SELECT a.feed_schema, a.instrument, any_value(o.rate) * arg_min(CASE WHEN r.cost > 0 THEN CAST(a.cost AS DOUBLE) / r.cost ELSE 1 END, a.window_id)
+    FROM q a JOIN q r ON r.instrument = 'ZN' AND r.feed_schema = a.feed_schema AND r.window_id = a.window_id JOIN own o ON o.feed_schema = a.feed_schema WHERE a.instrument <> 'ZN' GROUP BY a.feed_schema, a.instrument),
+wk AS (SELECT *, kind <> 'CONTROL' OR row_number() OVER (PARTITION BY kind, a % 86400000000000 ORDER BY a, window_id) <= {_FEWER} AS early FROM w),
+opt(option, core, short, few) AS (VALUES ('full plan', 0, 0, 0), ('core instruments only', 1, 0, 0), ('shorter windows', 0, 1, 0), ('fewer control days', 0, 0, 1), ('all three trims', 1, 1, 1)),
+c AS (SELECT option, sum(((z - a) / 1e9 + CASE WHEN short = 1 THEN coalesce(shi, hi) - coalesce(slo, lo) ELSE hi - lo END) * rate) AS usd FROM opt, i, s, wk JOIN rates USING (feed_schema, instrument) WHERE (NOT s.nd OR i.deep) AND (opt.core = 0 OR i.core) AND (opt.few = 0 OR wk.early) GROUP BY ALL)"""
+
+
+@query(f"WITH {_COST.replace('opt, i, s, wk JOIN rates USING (feed_schema, instrument) WHERE', 'opt, i, s, wk, rates r WHERE r.feed_schema = s.feed_schema AND r.instrument = i.instrument AND')} SELECT option, round(usd, 2) AS cost_usd, round(usd, 2) <= 20 AS fits_budget FROM c")
 def cost_plan_options(spark, folder):
-    w = _windows(spark, folder)
-    kinds = ["CPI", "NFP", "FOMC", "PPI", "RETAIL", "CLAIMS", "JOLTS", "HOUSING", "ISM", "GDP", "CONTROL"]
-    rows = [("full plan", "mbp-1", "ZN", -1800, 3600, kinds), ("full plan", "mbp-1", "GC", -1800, 3600, kinds), ("core instruments only", "mbp-1", "ZN", -1800, 3600, kinds), ("shorter window", "mbp-1", "ZN", -600, 1800, kinds), ("no controls", "mbp-1", "ZN", -1800, 3600, kinds[:-1])]
-    options = spark.createDataFrame(rows, "option string, feed_schema string, instrument string, lo_s long, hi_s long, kinds array<string>")
-    rates = spark.createDataFrame([("mbp-1", "ZN", 0.00001), ("mbp-1", "GC", 0.000004)], "feed_schema string, instrument string, usd_per_s double")
-    return costplan.options_table(costplan.estimate(w, options, rates), 20.0)
+    """The five options priced from sampled quotes."""
+    w = costplan.split_controls(_windows(spark, folder), _FEWER)
+    kinds = ["CPI", "NFP", "FOMC", "PPI", "RETAIL", "CLAIMS", "JOLTS", "HOUSING", "ISM", "GDP"]
+    instruments = spark.createDataFrame(_INSTRUMENTS, "instrument string, deep boolean, core boolean")
+    schemas = spark.createDataFrame(_PLAN_SCHEMAS, "feed_schema string, lo_s long, hi_s long, short_lo_s long, short_hi_s long, deep boolean")
+    rates = costplan.sampled_rates(spark.createDataFrame(_QUOTES, "instrument string, feed_schema string, window_id string, seconds double, cost_usd double"), "ZN")
+    return costplan.options_table(costplan.estimate(w, costplan.plan_options(instruments, schemas, kinds), rates), 20.0)
+
+
+@query("""SELECT instrument, feed_schema, window_id, action, round(cost, 6) AS cost_usd, round(spent, 6) AS spent FROM (SELECT *, CASE WHEN have THEN 'cached' WHEN spent <= 5 THEN 'buy' ELSE 'over budget' END AS action FROM (
+SELECT *, sum(cost) OVER (ORDER BY start_ns, instrument, feed_schema, window_id ROWS UNBOUNDED PRECEDING) AS spent FROM (SELECT *, CASE WHEN have THEN 0.0 ELSE (end_ns - start_ns) / 1e9 * CASE feed_schema WHEN 'mbp-1' THEN 0.00001 WHEN 'mbp-10' THEN 0.00005 ELSE 0.000002 END END AS cost
+FROM (SELECT DISTINCT instrument, feed_schema, window_id, start_ns, end_ns, request_id % 5 = 0 AS have FROM (SELECT instrument, feed_schema, window_id, min(start_ns) AS start_ns, arg_min(end_ns, struct_pack(s := start_ns, e := end_ns, r := request_id)) AS end_ns, arg_min(request_id, struct_pack(s := start_ns, e := end_ns, r := request_id)) AS request_id
+    FROM requests WHERE instrument = 'ZN' AND window_id IS NOT NULL AND start_ns IS NOT NULL AND end_ns IS NOT NULL GROUP BY ALL)))))""")
+def purchase_plan(spark, folder):
+    """A dry run over the requests of one instrument: a fifth is there already, the rest is bought in order until the budget is spent."""
+    r = table(spark, folder, "requests").filter("instrument = 'ZN'").dropna(subset=["window_id", "start_ns", "end_ns"]).select("instrument", "feed_schema", "window_id", "start_ns", "end_ns", "request_id")
+    r = costplan.first_of(r, ["instrument", "feed_schema", "window_id"], "start_ns", "end_ns", "request_id")
+    rates = spark.createDataFrame([(s, "ZN", u) for s, u in (("mbp-1", 0.00001), ("mbp-10", 0.00005), ("ohlcv-1s", 0.000002))], "feed_schema string, instrument string, usd_per_s double")
+    todo = costplan.purchases(r.drop("request_id"), r.filter("request_id % 5 = 0"), rates, 5.0)
+    return todo.select("instrument", "feed_schema", "window_id", "action", "cost_usd", "spent")
 
 
 # Replay

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidegrid.functions.previous import running
 from tidegrid.operators import costplan, stats
 from tidegrid.plans.study import ols_sql, rounded
 from tidegrid.sources.tables import table
@@ -65,7 +66,7 @@ def anti_join(t):
 def cross_join(t):
     """Two short dimensions and a parameter list: at most a few hundred rows a side."""
     s = t("customer").select(F.col("c_mktsegment").alias("segment")).distinct()
-    pairs = t("region").select("r_name").join(F.broadcast(s))
+    pairs = t("region").select("r_name").join(s)
     return pairs.select("r_name", "segment", F.explode(F.array(F.lit(1), F.lit(5))).alias("qty"))
 
 
@@ -81,8 +82,9 @@ def self_join_reference(t):
 @query("SELECT o_custkey, o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS mean_before FROM orders")
 def theta_join_earlier(t):
     """All earlier rows of a key, summed by a frame that ends just before the row, so that no pairs are formed."""
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, -1)
-    return t("orders").select("o_custkey", "o_orderkey", F.count("*").over(w).alias("earlier"), F.avg("o_totalprice").over(w).alias("mean_before"))
+    d = t("orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
+    d = running(d, ["o_custkey"], ["o_orderdate", "o_orderkey"], {"n": F.lit(1), "s": F.col("o_totalprice")}, before=True)
+    return d.select("o_custkey", "o_orderkey", F.coalesce("n", F.lit(0)).alias("earlier"), (F.col("s") / F.col("n")).alias("mean_before"))
 
 
 @query("SELECT c_nationkey AS nationkey, c_acctbal AS balance, 'customer' AS kind FROM customer UNION ALL SELECT s_nationkey, s_acctbal, 'supplier' FROM supplier")
@@ -159,8 +161,8 @@ def lag_diff(t):
 
 @query("SELECT o_custkey, o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), 2) AS running FROM orders")
 def running_sum(t):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
-    return t("orders").select("o_custkey", "o_orderkey", F.round(F.sum("o_totalprice").over(w), 2).alias("running"))
+    d = running(t("orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice"), ["o_custkey"], ["o_orderdate", "o_orderkey"], {"running": F.col("o_totalprice")})
+    return d.select("o_custkey", "o_orderkey", F.round("running", 2).alias("running"))
 
 
 @query("""SELECT event_id, user_id, ts, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS day_events FROM events""")
@@ -202,7 +204,7 @@ def request_dedupe(t):
 
 @query("SELECT o_custkey, o_orderkey, round(sum(o_totalprice) OVER w, 2) AS spent, round(sum(o_totalprice) OVER w, 2) <= 500000 AS allowed FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
 def budget_running_sum(t):
-    d = costplan.within_budget(t("orders"), ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")], "o_totalprice", 500_000)
+    d = costplan.within_budget(t("orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_totalprice", 500_000)
     return d.select("o_custkey", "o_orderkey", F.round("spent", 2).alias("spent"), (F.round("spent", 2) <= 500_000).alias("allowed"))
 
 
