@@ -15,21 +15,34 @@ from tidegrid.schema import KEYS, levels_of
 CURVE = ["group", "instrument", "qty"]
 
 
-def walk(prices: list[Column], sizes: list[Column], qty: Column) -> tuple[Column, Column]:
-    """Average price of filling `qty` from the levels, best first, and whether the shown depth is too small (then the price is NULL).
+def ladder(prices: list[Column], sizes: list[Column]) -> Column:
+    """The levels of a side, best first, as rungs: what lies before the level (size, paid), up to and with it (upto), and its price.
 
-    Levels without a price or size, or of negative size, hold nothing.
+    Levels without a price or size, or of negative size, hold nothing. It is made once for a book; every size climbs the same.
     """
-    levels = F.array(*[F.struct(p.cast("double").alias("p"), F.when(p.isNotNull(), F.greatest(F.coalesce(s, F.lit(0)), F.lit(0))).otherwise(0).cast("long").alias("s")) for p, s in zip(prices, sizes)])
+    rungs, before, paid = [], F.lit(0).cast("long"), F.lit(0.0)
+    for p, s in zip(prices, sizes):
+        held = F.when(p.isNotNull(), F.greatest(F.coalesce(s, F.lit(0)), F.lit(0))).otherwise(0).cast("long")
+        price = F.coalesce(p.cast("double"), F.lit(0.0))
+        rungs.append(F.struct(before.alias("before"), paid.alias("paid"), (before + held).alias("upto"), price.alias("price")))
+        before, paid = before + held, paid + held * price
+    return F.array(*rungs)
+
+
+def climb(rungs: Column, qty: Column) -> Column:
+    """The rung on which `qty` is filled; NULL if the shown depth is too small."""
+    return F.get(F.filter(rungs, lambda r: r["upto"] >= qty), F.lit(0))
 
-    def step(state: Column, level: Column) -> Column:
-        take = F.least(F.greatest(qty - state["filled"], F.lit(0)), level["s"])
-        return F.struct((state["filled"] + take).alias("filled"), (state["paid"] + F.when(take > 0, take * level["p"]).otherwise(0.0)).alias("paid"))
 
-    # One pass over the levels; written out level by level the expression would double at each.
-    done = F.aggregate(levels, F.struct(F.lit(0).cast("long").alias("filled"), F.lit(0.0).alias("paid")), step)
-    short = done["filled"] < qty
-    return F.when(~short, F.try_divide(done["paid"], qty)), short
+def filled(rung: Column, qty: Column) -> Column:
+    """Average price of a fill that ends on this rung."""
+    return F.try_divide(rung["paid"] + (qty - rung["before"]) * rung["price"], qty)
+
+
+def walk(prices: list[Column], sizes: list[Column], qty: Column) -> tuple[Column, Column]:
+    """Average price of filling `qty` from the levels, and whether the shown depth is too small (then the price is NULL)."""
+    rung = climb(ladder(prices, sizes), qty)
+    return filled(rung, qty), rung.isNull()
 
 
 def costs(ticks: DataFrame, stages: DataFrame, grid: Grid, sizes: tuple[int, ...], on: tuple[str, ...] = ("window_id",)) -> DataFrame:
@@ -38,15 +51,12 @@ def costs(ticks: DataFrame, stages: DataFrame, grid: Grid, sizes: tuple[int, ...
     t = staged(ticks, stages, list(on))
     book = F.struct(*[f"{side}_{what}_{i}" for side in ("bid", "ask") for what in ("px", "sz") for i in range(levels)])
     cells = t.groupBy(*KEYS, cell_of(F.col("off"), grid).alias("cell")).agg(F.max_by(book, F.struct("ts_event", "seq")).alias("r"))
-    # The book of a cell is walked once per size; the points up to the next cell repeat its cost, not its walk.
-    book = cells.select(*KEYS, "cell", "r.*")
-    mid = (F.col("bid_px_0") + F.col("ask_px_0")) / 2.0
-    parts = {}
-    for q in sizes:
-        buy, short_buy = walk([F.col(f"ask_px_{i}") for i in range(levels)], [F.col(f"ask_sz_{i}") for i in range(levels)], F.lit(q))
-        sell, short_sell = walk([F.col(f"bid_px_{i}") for i in range(levels)], [F.col(f"bid_sz_{i}") for i in range(levels)], F.lit(q))
-        parts[q] = F.struct(F.lit(q).alias("qty"), (buy - mid).alias("buy"), (mid - sell).alias("sell"), (short_buy | short_sell).alias("short"))
-    walked = book.select(*KEYS, "cell", F.array(*parts.values()).alias("w"))
+    # The book of a cell is walked once per size, on ladders made once; the points up to the next cell repeat its cost, not its walk.
+    sides = {side: ladder([F.col(f"r.{side}_px_{i}") for i in range(levels)], [F.col(f"r.{side}_sz_{i}") for i in range(levels)]) for side in ("ask", "bid")}
+    book = cells.select(*KEYS, "cell", ((F.col("r.bid_px_0") + F.col("r.ask_px_0")) / 2.0).alias("mid"), *[e.alias(side) for side, e in sides.items()])
+    book = book.select(*KEYS, "cell", "mid", *[climb(F.col(side), F.lit(q)).alias(f"{side}_{q}") for side in sides for q in sizes])
+    at = {q: (filled(F.col(f"ask_{q}"), F.lit(q)) - F.col("mid"), F.col("mid") - filled(F.col(f"bid_{q}"), F.lit(q)), F.col(f"ask_{q}").isNull() | F.col(f"bid_{q}").isNull()) for q in sizes}
+    walked = book.select(*KEYS, "cell", F.array(*[F.struct(F.lit(q).alias("qty"), buy.alias("buy"), sell.alias("sell"), short.alias("short")) for q, (buy, sell, short) in at.items()]).alias("w"))
     p = _points(walked, KEYS, grid)
     nothing = F.array(*[F.struct(F.lit(q).alias("qty"), F.lit(None).cast("double").alias("buy"), F.lit(None).cast("double").alias("sell"), F.lit(True).alias("short")) for q in sizes])
     p = p.select(*KEYS, F.expr(f"({grid.start}L + j * {grid.step}L) div 1000000000L").alias("offset_s"), F.explode(F.when(F.col("held"), F.col("w")).otherwise(nothing)).alias("w"))
