@@ -141,6 +141,47 @@ def test_calendar_and_costs_from_the_command_line(spark, tmp_path, capsys):
     assert "cached" in capsys.readouterr().out
 
 
+def test_binary_records(spark, tmp_path):
+    import numpy as np
+    import zstandard
+
+    from tidegrid.sources import dbn
+
+    def rows(kind, n, price):
+        out = np.zeros(n, np.dtype(dbn.KINDS[kind][1]))
+        out["length"], out["rtype"], out["ts_event"], out["instrument_id"] = out.dtype.itemsize // 4, dbn.KINDS[kind][0], np.arange(n) + 10**18, 7
+        if kind != "ohlcv-1s":
+            out["action"], out["side"], out["price"], out["size"], out["sequence"], out["bid_px_00"], out["ask_px_00"] = b"T", b"B", price, 3, np.arange(n), price, 2**63 - 1
+        return out
+
+    head = b"DBN\x02" + (4).to_bytes(4, "little") + b"meta"
+    assert np.dtype(dbn.KINDS["mbp-1"][1]).itemsize == 80 and np.dtype(dbn.KINDS["mbp-10"][1]).itemsize == 368 and np.dtype(dbn.KINDS["ohlcv-1s"][1]).itemsize == 56
+    (tmp_path / "a.dbn").write_bytes(head + rows("mbp-10", 5, 112 * 10**9).tobytes())
+    mixed = rows("mbp-10", 2, 10**9).tobytes() + rows("ohlcv-1s", 3, 0).tobytes() + rows("mbp-10", 1, 10**9).tobytes()
+    (tmp_path / "b.dbn.zst").write_bytes(zstandard.compress(head + mixed))
+    dbn.register(spark)
+    got = spark.read.format("dbn").option("kind", "mbp-10").load(str(tmp_path))
+    assert got.groupBy("file").count().orderBy("file").collect() == [("a.dbn", 5), ("b.dbn.zst", 3)]
+    book = records.book_frame(got.filter("file = 'a.dbn'"), F.lit(1 / 64), 10).first()
+    assert (book["price"], book["bid_px_0"], book["ask_px_0"], book["action"], book["side"], book["size"]) == (7168, 7168, None, 3, 1, 3)
+    assert spark.read.format("dbn").option("kind", "ohlcv-1s").load(str(tmp_path / "b.dbn.zst")).count() == 3
+    with pytest.raises(ValueError):
+        dbn.records_of(head + rows("mbp-1", 1, 1).tobytes()[:-5], "mbp-1")
+    with pytest.raises(ValueError):
+        dbn.records_of(b"something else", "mbp-1")
+
+
+def test_vintages_and_hidden_keys(spark):
+    from tidegrid.sources import releases
+
+    found = [{"realtime_start": "2024-10-10", "date": "2024-09-01", "value": "100.3"}, {"realtime_start": "2024-11-13", "date": "2024-10-01", "value": "."}]
+    d = releases.vintages(spark, lambda endpoint, p: {"count": 2, "observations": found[p["offset"] : p["offset"] + 1]}, "S")
+    assert [r["value"] for r in d.orderBy("date").collect()] == [100.3, None]
+    with pytest.raises(releases.ServiceError) as e:
+        releases.http("http://127.0.0.1:9/none", "secret", 1.0)("releases", {})
+    assert "secret" not in str(e.value) and "releases" in str(e.value)
+
+
 def test_only_sound_windows_and_agreed_ticks_pass(spark):
     from tidegrid.sources import provider
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import json
 import os
+import urllib.error
+import urllib.parse
+import urllib.request
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +34,29 @@ def recorded(folder: str) -> Fetch:
     return fetch
 
 
+def http(base: str, key: str, timeout: float = 30.0) -> Fetch:
+    """The service itself, answering in JSON. Errors name the endpoint and the status, never the address."""
+
+    def fetch(endpoint: str, params: dict) -> dict:
+        query = urllib.parse.urlencode({**params, "api_key": key, "file_type": "json"})
+        try:
+            with urllib.request.urlopen(f"{base.rstrip('/')}/{endpoint}?{query}", timeout=timeout) as answer:
+                return json.load(answer)
+        except urllib.error.HTTPError as e:
+            raise ServiceError(f"{endpoint}: status {e.code}") from None
+        except (urllib.error.URLError, OSError, ValueError) as e:
+            raise ServiceError(f"{endpoint}: {type(e).__name__}") from None
+
+    return fetch
+
+
+def vintages(spark: SparkSession, fetch: Fetch, series: str) -> DataFrame:
+    """All vintages of a series: realtime_start, date, value; a value the service marks as missing is NULL."""
+    found = pages(fetch, "series/observations", "observations", {"series_id": series, "realtime_start": "1776-07-04", "realtime_end": "9999-12-31"})
+    rows = spark.createDataFrame([(r["realtime_start"], r["date"], r["value"]) for r in found], "realtime_start string, date string, value string")
+    return rows.select(*[F.col(c).try_cast("date").alias(c) for c in ("realtime_start", "date")], F.col("value").try_cast("double").alias("value"))
+
+
 def pages(fetch: Fetch, endpoint: str, items: str, params: dict | None = None) -> list[dict]:
     """All items of an endpoint, page after page until the count it states is reached."""
     out: list[dict] = []
