@@ -21,11 +21,11 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _depths(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "baselines").select("baseline_id", "event_type", "instrument", "computed_on", *DEPTHS).dropDuplicates(["baseline_id"])
+    return table(spark, folder, "baselines").select("baseline_id", "event_type", "instrument", "computed_on", *DEPTHS).distinct()
 
 
 def _metrics(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "event_metrics").select("metric_id", "group_label", "instrument", "computed_on", *METRICS).dropDuplicates(["metric_id"])
+    return table(spark, folder, "event_metrics").select("metric_id", "group_label", "instrument", "computed_on", *METRICS).distinct()
 
 
 def p6_percentiles(spark: SparkSession, folder: str) -> DataFrame:
