@@ -180,9 +180,9 @@ def filter_of(df: DataFrame, column: str, count: int) -> np.ndarray:
             mask = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else np.empty(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(mask.view(np.int64))], names=["word", "mask"])
 
-    words = df.select(column).mapInArrow(run, "word bigint, mask bigint").groupBy("word").agg(F.expr("bit_or(mask)").alias("mask")).toPandas()
+    words = df.select(column).mapInArrow(run, "word bigint, mask bigint").groupBy("word").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
     out = np.zeros(bits // 64, np.uint64)
-    out[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64).view(np.uint64)
+    out[words.column("word").to_numpy()] = words.column("mask").to_numpy().view(np.uint64)
     return out
 
 
