@@ -3,6 +3,8 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import GroupedData
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from tidegrid.operators.spikes import NOISE, Reading, details, implausible_readings, threshold
 
@@ -114,3 +116,27 @@ def test_details_by_hand():
 def test_empty_and_null(spark):
     assert run(spark, []) == {}
     assert run(spark, [[1, None, None, None, None, None, None], [2, None, None, None, 5, float("nan"), None]]) == {(2, "g"): (True, False, False)}
+
+
+def test_rows_of_a_cut_table_carry_no_histograms(spark, monkeypatch):
+    """With a cut anywhere, what goes to the pieces stays as narrow as without, for cut and whole sources, and so do the results."""
+    r = random.Random(21)
+    rows = source(600) + [[1000 + k, None, at(k // 2), 1000, r.choice([0, 9, 10, 11]), r.choice([None, 2.0, 2.1]), ""] for k in range(300)] + [[2000 + k, "cold", at(k), 1000, 10 + k % 3, 2.0, ""] for k in range(40)]
+    for k, v in ((50, 300), (250, -1), (400, 1001), (450, 0), (2020, 300)):
+        next(x for x in rows if x[0] == k)[4] = v
+    given, real = [], GroupedData.applyInArrow
+    monkeypatch.setattr(GroupedData, "applyInArrow", lambda self, *a: (given.append(self._df.schema), real(self, *a))[1])
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = [sorted(map(tuple, implausible_readings(df, "id", ["src"], "at", READ, total="n", piece=p).collect())) for p in (500_000, 150)]
+    assert got[0] == got[1] and {x[0] for x in got[0] if x[3]} == {50, 2020} and {x[0] for x in got[0] if x[4]} >= {450}
+    assert given and not [f.name for s in given for f in s if isinstance(f.dataType, (ArrayType, MapType, StructType))]
+
+
+def test_the_limit_of_a_cut_source_follows_its_spread(spark):
+    """Readings that spread far wider than the least spread: cut or not, only what lies beyond the source's own spread is found."""
+    r = random.Random(4)
+    rows = [[k, "wide", at(k), 10**6, round((30 + r.gauss(0, 4)) ** 2), float(np.exp(r.gauss(0, 0.5))), ""] for k in range(900)]
+    rows[300][5] = 400.0
+    want = run(spark, rows)
+    assert {k for k, v in want.items() if v[1]} == {(300, "g")}
+    assert run(spark, rows, 150) == want and run(spark, rows, 150, dips=True) == run(spark, rows, dips=True)

@@ -94,7 +94,7 @@ class Chunked:
 
     def with_neighbours(self, reach: int) -> DataFrame:
         """The rows, and as copies with __beyond = True the `reach` rows before and after each piece (from up to two pieces)."""
-        own = self.df.drop("__is_cut").withColumn("__beyond", F.lit(False))
+        own = self.df.withColumn("__beyond", F.lit(False))
         if not self.cut:
             return own
         cols = [c for c in self.df.columns if c not in (*self.keys, CHUNK, "__is_cut")]
@@ -111,7 +111,7 @@ class Chunked:
         ahead = F.concat(F.coalesce(F.lead("head", 1).over(w), none), F.coalesce(F.lead("head", 2).over(w), none))
         near = ends.select(*self.keys, CHUNK, back.alias("b"), ahead.alias("f"))
         near = near.select(*self.keys, CHUNK, F.explode(F.concat(F.slice("b", F.greatest(F.size("b") - reach + 1, F.lit(1)), reach), F.slice("f", 1, reach))).alias("row"))
-        return own.unionByName(near.select(*self.keys, CHUNK, *[F.col(f"row.{c}") for c in cols], F.lit(True).alias("__beyond")))
+        return own.unionByName(near.select(*self.keys, CHUNK, *[F.col(f"row.{c}") for c in cols], F.lit(True).alias("__is_cut"), F.lit(True).alias("__beyond")))
 
 
 def _piece_of(cuts: Column, at: Column, steps: int) -> Column:

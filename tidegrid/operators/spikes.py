@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegrid.functions.chunked import CHUNK, PIECE, assign_chunks, lookup
-from tidegrid.functions.shared import cut
+from tidegrid.functions.shared import cut, written
 
 LEVELS = 5
 #: Half the width of the running median that keeps spikes, and up to so many neighbours of one wrong value, out of the smooth course.
@@ -26,6 +26,8 @@ CLEAN = 16
 REACH = 94
 #: Spread of the summed details of white noise of unit variance over five levels: the root of 1 - 2 w(0) + sum of w^2 for the triangle of width 2^5.
 NOISE = 0.979
+#: Readings worked on at a time, for what a piece needs besides its rows.
+BLOCK = 16_384
 #: Classes a doubling in the histograms of the details' size, and their range as powers of two.
 FINE, LOW, HIGH = 64, -10, 20
 
@@ -61,16 +63,16 @@ def details(y: np.ndarray, levels: int = LEVELS) -> np.ndarray:
         head, tail = 2 * np.median(y[:5]) - y[CLEAN:0:-1], 2 * np.median(y[-5:]) - y[-2 : -CLEAN - 2 : -1]
     else:
         head, tail = np.repeat(y[:1], CLEAN), np.repeat(y[-1:], CLEAN)
-    padded = np.concatenate((head, y, tail))
-    smooth = np.empty(n)
-    for k in range(0, n, 65_536):  # the windows of a block at a time
-        part = padded[k : k + 65_536 + 2 * CLEAN]
-        smooth[k : k + 65_536] = np.median(np.lib.stride_tricks.sliding_window_view(part, 2 * CLEAN + 1), axis=1)
-    at = np.arange(n)
-    for j in range(levels):
-        step = 2**j
-        smooth = (smooth[np.maximum(at - step, 0)] + 2 * smooth + smooth[np.minimum(at + step, n - 1)]) / 4
-    return y - smooth
+    padded, out, edge = np.concatenate((head, y, tail)), np.empty(n), 2**levels - 1
+    for k in range(0, n, BLOCK):  # a block at a time, with what its smooth sees to each side
+        lo, hi = max(k - edge, 0), min(k + BLOCK + edge, n)
+        smooth = np.median(np.lib.stride_tricks.sliding_window_view(padded[lo : hi + 2 * CLEAN], 2 * CLEAN + 1), axis=1)
+        at = np.arange(hi - lo)
+        for j in range(levels):
+            step = 2**j
+            smooth = (smooth[np.maximum(at - step, 0)] + 2 * smooth + smooth[np.minimum(at + step, hi - lo - 1)]) / 4
+        out[k : k + BLOCK] = y[k : k + BLOCK] - smooth[k - lo : k - lo + BLOCK]
+    return out
 
 
 def classes(size: np.ndarray) -> np.ndarray:
@@ -100,13 +102,14 @@ def _runs(held: np.ndarray, v: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     new = np.ones(len(v), bool)
     new[1:] = ~(held[1:] & held[:-1] & (v[1:] == v[:-1]))
-    return np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
+    of = np.cumsum(new)
+    return np.bincount(of)[of]
 
 
 class _Series:
     """One piece of a source in order, each check once."""
 
-    def __init__(self, part: pa.Table, readings: list[Reading], first: int):
+    def __init__(self, part: pa.Table):
         t = part.column("__t").to_numpy(zero_copy_only=False).astype(np.float64)
         ids = part.column("__id").combine_chunks()
         rank = np.asarray(ids.dictionary_encode().indices) if not pa.types.is_integer(ids.type) else ids.to_numpy(zero_copy_only=False)
@@ -118,30 +121,29 @@ class _Series:
         order = np.lexsort((rank, np.where(np.isnan(t), -np.inf, t)))
         once = np.ones(len(order), bool)
         once[1:] = rank[order][1:] != rank[order][:-1]
-        order = order[once]
-        self.ids = ids.take(pa.array(order))
-        self.own = ~np.asarray(part.column("__beyond"))[order]
-        total = part.column("__total").to_numpy(zero_copy_only=False).astype(np.float64)[order]
-        self.idle = total == 0
-        self.fields = []
-        for i, r in enumerate(readings):
-            x = part.column(first + i).combine_chunks()
-            held = np.asarray(x.is_valid())[order] & ~self.idle
-            v = x.to_numpy(zero_copy_only=False).astype(np.float64)[order]
-            with np.errstate(invalid="ignore"):
-                above = v > total if r.kind == "count" else v > (np.inf if r.most is None else r.most)
-                wrong = held & (np.isnan(v) | (v < 0) | np.isinf(v) | above)
-            possible = np.flatnonzero(held & ~wrong)
-            y, least = stable(r.kind, v[possible])
-            d = np.zeros(len(v))
-            d[possible] = details(y)
-            fine = np.zeros(len(v), bool)
-            fine[possible] = True
-            self.fields.append((r, held, v, wrong, fine, d, least))
-
-    def histograms(self) -> list[np.ndarray]:
-        """Of each field the sizes of the piece's own details."""
-        return [np.bincount(classes(np.abs(d[fine & self.own])), minlength=(HIGH - LOW) * FINE) for _, _, _, _, fine, d, _ in self.fields]
+        self.part, self.order = part, order[once]
+        self.ids = ids.take(pa.array(self.order))
+        self.own = ~np.asarray(part.column("__beyond"))[self.order]
+        self.total = part.column("__total").to_numpy(zero_copy_only=False).astype(np.float64)[self.order]
+        self.idle = self.total == 0
+
+    def field(self, column: str, r: Reading) -> tuple[np.ndarray, ...]:
+        """Of a field whether a check holds a reading, the readings, which are impossible, and the details (0 where there is no possible
+        reading); with them the histogram of the sizes of the piece's own details. One field at a time, as a piece may be long."""
+        x = self.part.column(column).combine_chunks()
+        held = np.asarray(x.is_valid())[self.order] & ~self.idle
+        v = x.to_numpy(zero_copy_only=False).astype(np.float64)[self.order]
+        with np.errstate(invalid="ignore"):
+            above = v > self.total if r.kind == "count" else v > (np.inf if r.most is None else r.most)
+            wrong = held & (np.isnan(v) | (v < 0) | np.isinf(v) | above)
+        possible = np.flatnonzero(held & ~wrong)
+        d = np.zeros(len(v))
+        d[possible] = details(stable(r.kind, v[possible])[0])
+        own = possible[self.own[possible]]
+        histogram = np.zeros((HIGH - LOW) * FINE, np.int64)
+        for k in range(0, len(own), BLOCK):
+            histogram += np.bincount(classes(np.abs(d[own[k : k + BLOCK]])), minlength=len(histogram))
+        return held, v, wrong, d, histogram
 
 
 def implausible_readings(
@@ -175,46 +177,53 @@ def implausible_readings(
     )
     chunked = assign_chunks(base, names, ["__t", "__id"], piece)
     rows = chunked.with_neighbours(REACH)
-    if chunked.cut:  # the spread is known only when all pieces of a source have been seen
-        rows = cut(rows)
-        seen = cut(_histograms(rows, names, readings, columns))
-        rows = lookup(rows, seen, names, seen.count())
-    else:
-        rows = rows.withColumn("__h", F.lit(None).cast("array<array<bigint>>"))
     kind = base.schema["__id"].dataType
-    out = T.StructType([T.StructField(row_id, kind), *T.StructType.fromDDL("field_name string, impossible boolean, spike boolean, dip boolean, stuck boolean").fields])
+    keys = [base.schema[n] for n in names]
+    out = T.StructType([*keys, T.StructField("__id", kind), *T.StructType.fromDDL("__f int, __wrong boolean, __stuck boolean, __d double, __limit double, __c int, __n bigint").fields])
+    least = [stable(r.kind, np.empty(0))[1] for r in readings]
+
+    def limit_of(histogram: np.ndarray, i: int) -> float:
+        spread, n = scale_of(histogram, least[i])
+        return threshold(n, false_alarms, floor) * spread
 
     def judge(part: pa.Table) -> pa.Table:
-        series = _Series(part, readings, part.schema.get_field_index(columns[0]))
-        given = part.column("__h")[0].as_py()
-        ids, found = [], {k: [] for k in ("field_name", "impossible", "spike", "dip", "stuck")}
-        for i, ((r, held, v, wrong, fine, d, least), own) in enumerate(zip(series.fields, series.histograms())):
-            spread, n = scale_of(np.asarray(given[i]) if given else own, least)
-            limit = threshold(n, false_alarms, floor) * spread
-            up, down = fine & (d > limit), fine & (d < -limit)
+        """The implausible readings of a source in one piece. Of a piece of several, whose limit isn't known yet, the readings beyond
+        the least limit there is, and the histograms: what a row carries stays small."""
+        series, whole, found = _Series(part), not part.column("__is_cut")[0].as_py(), []
+        one = part.select(names).slice(0, 1).combine_chunks()
+
+        def add(i: int, n: int, **columns: pa.Array) -> None:
+            same = {k: one.column(k).combine_chunks().take(pa.array(np.zeros(n, np.int64))) for k in names}
+            rest = {f.name: pa.nulls(n, t) for f, t in zip(out.fields[len(names) :], [series.ids.type, pa.int32(), pa.bool_(), pa.bool_(), pa.float64(), pa.float64(), pa.int32(), pa.int64()])}
+            found.append(pa.table(same | rest | {"__f": pa.array(np.full(n, i, np.int32))} | columns))
+
+        for i, (column, r) in enumerate(zip(columns, readings)):
+            held, v, wrong, d, histogram = series.field(column, r)
+            limit = limit_of(histogram, i) if whole else floor * (NOISE * least[i])
             stuck = held & (v != 0) & (_runs(held, v) >= run)
-            at = np.flatnonzero(series.own & (wrong | up | down | stuck))
-            ids.append(series.ids.take(pa.array(at)))
-            found["field_name"].append(pa.array([r.column] * len(at), pa.string()))
-            for k, flag in (("impossible", wrong), ("spike", up), ("dip", down), ("stuck", stuck)):
-                found[k].append(pa.array(flag[at]))
-        return pa.table({row_id: pa.chunked_array(ids), **{k: pa.chunked_array(a) for k, a in found.items()}})
-
-    return rows.groupBy(*names, CHUNK).applyInArrow(judge, out)
-
-
-def _histograms(rows: DataFrame, names: list[str], readings: list[Reading], columns: list[str]) -> DataFrame:
-    """Per source the histograms of all fields, added up over its pieces."""
-    long = T.StructType([*[rows.schema[n] for n in names], *T.StructType.fromDDL("f int, c int, n bigint").fields])
-
-    def count(part: pa.Table) -> pa.Table:
-        cells = [(i, c, h[c]) for i, h in enumerate(_Series(part, readings, part.schema.get_field_index(columns[0])).histograms()) for c in np.flatnonzero(h)]
-        keys = {n: part.column(n).combine_chunks().take(pa.array(np.zeros(len(cells), np.int64))) for n in names}
-        f, c, n = zip(*cells) if cells else ((), (), ())
-        return pa.table({**keys, "f": pa.array(f, pa.int32()), "c": pa.array(c, pa.int32()), "n": pa.array(n, pa.int64())})
-
-    cells = rows.groupBy(*names, CHUNK).applyInArrow(count, long).groupBy(*names, "f", "c").agg(F.sum("n").alias("n"))
-    whole = cells.groupBy(*names).agg(F.map_from_entries(F.collect_list(F.struct(F.struct("f", "c"), "n"))).alias("m"))
-    size = (HIGH - LOW) * FINE
-    histogram = F.array(*[F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda c, i=i: F.coalesce(F.col("m")[F.struct(F.lit(i).alias("f"), c.alias("c"))], F.lit(0).cast("long"))) for i in range(len(readings))])
-    return whole.select(*names, histogram.alias("__h"))
+            at = np.flatnonzero(series.own & (wrong | (np.abs(d) > limit) | stuck))
+            known = {"__limit": pa.array(np.full(len(at), limit))} if whole else {}
+            add(i, len(at), __id=series.ids.take(pa.array(at)), __wrong=pa.array(wrong[at]), __stuck=pa.array(stuck[at]), __d=pa.array(d[at]), **known)
+            if not whole:
+                c = np.flatnonzero(histogram)
+                add(i, len(c), __c=pa.array(c.astype(np.int32)), __n=pa.array(histogram[c].astype(np.int64)))
+        return pa.concat_tables(found)
+
+    found = rows.groupBy(*names, CHUNK).applyInArrow(judge, out)
+    limit = F.col("__limit")
+    if chunked.cut:  # the limit is known only when all pieces of a source have been seen
+        found = written(found, "readings")
+
+        def over_pieces(part: pa.Table) -> pa.Table:
+            histogram, i = np.zeros((HIGH - LOW) * FINE, np.int64), part.column("__f")[0].as_py()
+            histogram[part.column("__c").to_numpy()] = part.column("__n").to_numpy()
+            return part.select([*names, "__f"]).slice(0, 1).append_column("__of_all", pa.array([limit_of(histogram, i)]))
+
+        cells = found.filter("__c is not null").groupBy(*names, "__f", "__c").agg(F.sum("__n").alias("__n"))
+        limits = cut(cells.groupBy(*names, "__f").applyInArrow(over_pieces, T.StructType([*keys, *T.StructType.fromDDL("__f int, __of_all double").fields])))
+        found = lookup(found.filter("__c is null"), limits, [*names, "__f"], limits.count())
+        limit = F.coalesce(limit, "__of_all")
+    field = F.array(*[F.lit(r.column) for r in readings])[F.col("__f")]
+    spike, dip = F.coalesce(F.col("__d") > limit, F.lit(False)), F.coalesce(F.col("__d") < -limit, F.lit(False))
+    flags = found.select(F.col("__id").alias(row_id), field.alias("field_name"), F.col("__wrong").alias("impossible"), spike.alias("spike"), dip.alias("dip"), F.col("__stuck").alias("stuck"))
+    return flags.filter("impossible or spike or dip or stuck")
